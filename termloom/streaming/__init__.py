@@ -1,0 +1 @@
+"""Empty on purpose: the work is batch only; it has no unbounded source, window or state."""
