@@ -288,4 +288,13 @@ FROM documents""",
                 round(CAST(sum(neg * (2 * tp - pos)) AS DOUBLE) / 2
                       / CAST(max(p) AS DOUBLE) / CAST(max(n) AS DOUBLE), 9) AS auc
          FROM running, totals""",
+    "rbf_decision": """
+WITH vectors AS (
+  SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x,
+         CASE WHEN label < 5 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS coef
+  FROM embeddings),
+width AS (SELECT 1.0::DOUBLE / (max(len(x)) - 1) AS gamma FROM vectors)
+SELECT a.id, round(sum(b.coef * exp(-gamma * list_distance(a.x, b.x) ** 2)) - 0.5::DOUBLE, 6)
+         AS decision
+FROM vectors a, vectors b, width GROUP BY a.id""",
 }

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from termloom.functions import text as tx
 from termloom.operators import annotate as an
 from termloom.operators import dictionary as dc
+from termloom.operators import evaluate as ev
+from termloom.operators import svm
 from termloom.operators import vectors as vc
-from termloom.session import materialize
+from termloom.session import materialize, spread
 
 
 @dataclass(frozen=True)
@@ -52,3 +55,33 @@ def vectorize(
 ) -> tuple[DataFrame, DataFrame]:
     """Cluster table and vector entries of a corpus against a given dictionary."""
     return vc.clusters(bags), vc.cluster_entries(bags, dictionary, merge)
+
+
+def assembled_vectors(bags: DataFrame, dictionary: DataFrame, merge: str = "max") -> DataFrame:
+    """One row per cluster with its sparse vector, written once for training."""
+    return spread(materialize(vc.assemble(*vectorize(bags, dictionary, merge))), "cluster_id")
+
+
+@dataclass(frozen=True)
+class Evaluation:
+    """Tables that describe a model on labelled clusters."""
+
+    scored: DataFrame
+    confusion: DataFrame
+    errors: DataFrame
+    roc: DataFrame
+    auc: DataFrame
+
+
+def evaluate(model: PipelineModel, vectors: DataFrame) -> Evaluation:
+    """Score labelled vectors once and derive all reports from that table."""
+    scored = materialize(svm.score(vectors, model))
+    truth, scores = svm.evaluation_records(scored)
+    aligned = ev.align(truth, scores)
+    return Evaluation(
+        scored=scored,
+        confusion=ev.confusion_matrix(scored, labels=(0, 1), actual="label"),
+        errors=ev.error_rate(scored, actual="label"),
+        roc=ev.roc_curve(aligned),
+        auc=ev.roc_auc(aligned),
+    )

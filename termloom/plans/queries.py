@@ -12,7 +12,9 @@ from termloom.operators import annotate as an
 from termloom.operators import dictionary as dc
 from termloom.operators import evaluate as ev
 from termloom.operators import fusion as fu
+from termloom.operators import kernel as kn
 from termloom.operators import split as sp
+from termloom.operators import svm
 from termloom.operators import vectors as vc
 from termloom.plans import pipeline as pl
 from termloom.session import materialize, spread
@@ -346,6 +348,72 @@ def roc_auc(spark, sf_dir):
     return area.withColumn("auc", F.round("auc", 9))
 
 
+# ---- model -----------------------------------------------------------------
+
+
+def embedding_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as vectors of two classes: the lower and the upper labels."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("cluster_id"),
+        (F.col("label") < 5).cast("int").alias("label"),
+        svm.dense_entries("embedding").alias("entries"),
+    )
+
+
+def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a cluster of its own, labelled or not."""
+    documents = ds.as_documents(
+        labelled_table(spark, sf_dir),
+        text="text",
+        cluster_id="doc_id",
+        label=F.col("quality"),
+    )
+    bags = pl.corpus_bags(documents)
+    return pl.assembled_vectors(bags, pl.build_dictionary(bags))
+
+
+def rbf_decision(spark, sf_dir):
+    """Exact decision values with every embedding as a support vector."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    entries = embeddings.select(F.inline(svm.dense_entries("embedding")))
+    gamma = vc.max_feature_index(entries).first()["gamma"]
+    features = F.col("embedding").cast("array<double>").alias("features")
+    support = embeddings.select(
+        features, F.when(F.col("label") < 5, 1.0).otherwise(-1.0).alias("coef")
+    )
+    rows = embeddings.select(F.col("vec_id").alias("id"), features)
+    decided = kn.rbf_decision(rows, support, gamma, rho=0.5)
+    return decided.withColumn("decision", F.round("decision", 6))
+
+
+def train_svm(spark, sf_dir):
+    """RBF model of the embeddings: class and decision value of each."""
+    vectors = embedding_vectors(spark, sf_dir)
+    scored = svm.score(vectors, svm.fit(vectors))
+    return scored.select("cluster_id", "label", "predicted", "decision")
+
+
+def platt_calibrate(spark, sf_dir):
+    """Linear model of the embeddings: calibrated probability of each."""
+    vectors = embedding_vectors(spark, sf_dir)
+    scored = svm.score(vectors, svm.fit(vectors, svm.SvmOptions(kernel="linear")))
+    return scored.select("cluster_id", "decision", "p1")
+
+
+def predict_svm(spark, sf_dir):
+    """Train on the labelled documents, predict the class of all others."""
+    vectors = document_vectors(spark, sf_dir)
+    model = svm.fit(vectors)
+    return svm.predict(vectors.where(F.col("label").isNull()), model)
+
+
+def evaluate_svm(spark, sf_dir):
+    """Train on a part of the labelled documents, confusion matrix of the rest."""
+    labelled = document_vectors(spark, sf_dir).where(F.col("label").isNotNull())
+    train, test = sp.train_test_split(labelled, "cluster_id", TRAIN_FRACTION)
+    return pl.evaluate(svm.fit(train), test).confusion
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -357,6 +425,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         svmlite_lines, svmlite_parse, max_feature_index, class_distribution,
         train_test_split, train_test_split_exact, score_fusion, fusion_agreement,
         dedup_last, submission_scores, alignment_check, confusion_matrix,
-        confusion_counts, error_rate, roc_curve, roc_auc,
+        confusion_counts, error_rate, roc_curve, roc_auc, rbf_decision, train_svm,
+        platt_calibrate, predict_svm, evaluate_svm,
     )
 }
