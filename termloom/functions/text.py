@@ -239,11 +239,8 @@ def phrase_ngrams(
     def of_size(phrase: Column, n: int) -> Column:
         later_words = F.slice(phrase, n, _TO_END)
         if style == "prefix":
-            prefix = F.slice(phrase, 1, n - 1)
-            return F.transform(
-                later_words,
-                lambda word: F.array_join(F.concat(prefix, F.array(word)), " "),
-            )
+            prefix = [F.get(phrase, F.lit(i)) for i in range(n - 1)]
+            return F.transform(later_words, lambda word: F.concat_ws(" ", *prefix, word))
         return F.transform(
             later_words, lambda _, i: F.array_join(F.slice(phrase, i + 1, n), " ")
         )

@@ -93,6 +93,24 @@ def fits_broadcast(dictionary: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) ->
     return dictionary_bytes(dictionary) <= limit
 
 
+def split_head(
+    entries: DataFrame, dictionary: DataFrame, key: str = "term"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(hot, cold, tail)``: entries joined to the head of a large dictionary, the
+    other entries, and the rest of the dictionary.
+
+    The head is the bounded number of most frequent rows, the only keys that can be
+    hot: the term at rank r holds at most 1/r of all occurrences.  It goes out by
+    broadcast; what is left can be shuffled by key without skew.
+    """
+    table = dictionary.select("idx", "term")
+    in_head = (F.col("idx") < HEAD_ROWS) & (F.octet_length("term") <= HEAD_TERM_BYTES)
+    head = table.where(in_head)
+    hot = entries.join(F.broadcast(head), key)
+    cold = entries.join(F.broadcast(head.select(key)), key, "left_anti")
+    return hot, cold, table.where(~in_head)
+
+
 def lookup(
     entries: DataFrame,
     dictionary: DataFrame,
@@ -101,22 +119,13 @@ def lookup(
 ) -> DataFrame:
     """Inner join of entries to a dictionary on ``term`` or ``idx``.
 
-    A dictionary of a checked size is broadcast.  A larger one is joined in two
-    parts: its most frequent rows, the only keys that can be hot, by broadcast of a
-    bounded head, the rest by a shuffle in which no key is frequent (the term at
-    rank r holds at most 1/r of all occurrences).
+    A dictionary of a checked size is broadcast; a larger one is joined in two parts,
+    see :func:`split_head`.
     """
-    other = "idx" if key == "term" else "term"
-    table = dictionary.select(key, other)
     if fits_broadcast(dictionary) if small is None else small:
-        return entries.join(F.broadcast(table), key)
-    in_head = (F.col("idx") < HEAD_ROWS) & (F.octet_length("term") <= HEAD_TERM_BYTES)
-    head = table.where(in_head)
-    tail = table.where(~in_head)
-    tagged = entries.join(F.broadcast(head), key, "left")
-    hot = tagged.where(F.col(other).isNotNull())
-    cold = tagged.where(F.col(other).isNull()).drop(other).join(tail, key)
-    return hot.unionByName(cold)
+        return entries.join(F.broadcast(dictionary.select("idx", "term")), key)
+    hot, cold, tail = split_head(entries, dictionary, key)
+    return hot.unionByName(cold.join(tail, key))
 
 
 def _by_term(bags: DataFrame):

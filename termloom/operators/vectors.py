@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.operators.dictionary import exploded_bags, fits_broadcast, lookup
+from termloom.operators.dictionary import exploded_bags, fits_broadcast, lookup, split_head
 
 _MERGES = {
     "max": lambda: F.max("n").cast("double"),
@@ -52,22 +52,21 @@ def cluster_entries(
     over all tasks, and each task combines its rows before the shuffle.
 
     A small dictionary is joined first, which drops unknown terms and shuffles
-    integers; against a large one the rows are merged by term first, so that each
-    cluster and term meets the dictionary once.
+    integers.  With a large one this is done for its frequent head only; the other
+    entries are shuffled once, by term, which serves both the merge and the join.
     """
     small = fits_broadcast(dictionary) if small_dictionary is None else small_dictionary
-    combine = _MERGES["sum" if merge == "avg" else merge]()
     entries = exploded_bags(bags, "cluster_id")
+    combine = _MERGES["sum" if merge == "avg" else merge]().alias("value")
     if small:
-        merged = (
-            lookup(entries, dictionary, small=True)
-            .groupBy("cluster_id", "idx")
-            .agg(combine.alias("value"))
-        )
+        known = lookup(entries, dictionary, small=True)
+        merged = known.groupBy("cluster_id", "idx").agg(combine)
     else:
-        by_term = entries.groupBy("cluster_id", "term").agg(combine.alias("value"))
-        merged = lookup(by_term, dictionary, small=False).select(
-            "cluster_id", "idx", "value"
+        hot, cold, tail = split_head(entries, dictionary)
+        frequent = hot.groupBy("cluster_id", "idx").agg(combine)
+        rare = cold.repartition("term").groupBy("cluster_id", "term").agg(combine)
+        merged = frequent.unionByName(
+            rare.join(tail, "term").select("cluster_id", "idx", "value")
         )
     if merge == "avg":
         sizes = clusters(bags).select("cluster_id", "n_docs")

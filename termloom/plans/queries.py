@@ -63,7 +63,11 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as documents, conversations as clusters."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    turns = spread(
+        table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"),
+        "conv_id",
+        "turn",
+    )
     return ds.as_documents(turns, text="text", cluster_id="conv_id", doc_id="turn")
 
 

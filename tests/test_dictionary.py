@@ -1,0 +1,114 @@
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import plan_of
+from termloom.operators import annotate as an
+from termloom.operators import dictionary as dc
+from termloom.operators.ordering import with_dense_index, with_running_totals
+from termloom.sources import dictionary as sd
+
+
+def counts(spark, **n):
+    return spark.createDataFrame(list(n.items()), "term string, n bigint")
+
+
+def listed(df):
+    return [(r["idx"], r["term"]) for r in df.orderBy("idx").collect()]
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 13])
+def test_dense_index_is_the_sorted_position(spark, partitions):
+    rows = spark.range(1_000).select((F.col("id") * 7919 % 1_000).alias("k"))
+    indexed = with_dense_index(rows.repartition(partitions), F.desc("k"))
+    assert sorted((r["k"], r["idx"]) for r in indexed.collect()) == [
+        (k, 999 - k) for k in range(1_000)
+    ]
+
+
+def test_dense_index_spans_several_blocks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(5_000)
+        indexed = with_dense_index(rows, F.asc("id"), name="at", start=10)
+        assert indexed.where(F.col("at") != F.col("id") + 10).count() == 0
+        totals = with_running_totals(rows, F.asc("id"), totals={"upto": "id"})
+        wrong = F.col("upto") != F.expr("id * (id + 1) div 2")
+        assert totals.where(wrong).count() == 0
+        assert totals.count() == 5_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_empty_input_gets_no_index(spark):
+    assert with_dense_index(spark.range(0), F.asc("id")).collect() == []
+
+
+def test_dictionary_orders_by_count_then_term(spark):
+    dictionary = dc.build_dictionary(counts(spark, b=2, a=2, z=9, c=1))
+    assert listed(dictionary) == [(0, "z"), (1, "a"), (2, "b"), (3, "c")]
+    top = dc.top_k(counts(spark, b=2, a=2, z=9, c=1), 2)
+    assert listed(top) == listed(dc.cap(dictionary, 2)) == [(0, "z"), (1, "a")]
+    assert "TakeOrderedAndProject" in plan_of(top)
+
+
+def test_counts_and_document_frequency(spark):
+    docs = spark.createDataFrame(
+        [(["x", "x", "y"],), (["x"],), ([],)], "terms array<string>"
+    )
+    bags = an.term_bags(docs)
+    expected = {"x": 3, "y": 1}
+    for source in (docs, bags):
+        assert {r["term"]: r["n"] for r in dc.term_counts(source).collect()} == expected
+    frequency = dc.document_frequency(bags).collect()
+    assert {r["term"]: r["n_docs"] for r in frequency} == {"x": 2, "y": 1}
+    assert {r["term"] for r in dc.vocabulary(docs).collect()} == {"x", "y"}
+
+
+def test_table_and_text_round_trip(spark, tmp_path):
+    words = {f"w{i:04d}": 5_000 - i for i in range(2_000)}
+    dictionary = dc.build_dictionary(counts(spark, **words))
+    sd.write_dictionary(dictionary, str(tmp_path / "d.parquet"))
+    sd.write_dictionary_text(dictionary, str(tmp_path / "d.txt"))
+    sd.write_term_counts(dictionary, sd.counts_path(str(tmp_path / "d.txt")))
+    table = sd.read_dictionary(spark, str(tmp_path / "d.parquet"))
+    text = sd.read_dictionary_text(spark, str(tmp_path / "d.txt"))
+    assert listed(table) == listed(text) == [(i, f"w{i:04d}") for i in range(2_000)]
+    lines = spark.read.text(str(tmp_path / "d.tsv")).collect()
+    assert {r["value"] for r in lines} == {f"{w}\t\t{n}" for w, n in words.items()}
+
+
+def test_text_lines_are_trimmed_and_the_last_duplicate_wins(spark, tmp_path):
+    path = tmp_path / "words.txt"
+    path.write_text("  one\t\ntwo\none\n")
+    read = sd.read_dictionary_text(spark, str(path))
+    assert listed(read) == [(0, "one"), (1, "two"), (2, "one")]
+    reverse = {r["term"]: r["idx"] for r in dc.reverse_dictionary(read).collect()}
+    assert reverse == {"one": 2, "two": 1}
+
+
+@pytest.mark.parametrize("key", ["term", "idx"])
+def test_large_and_small_lookup_agree(spark, monkeypatch, key):
+    monkeypatch.setattr(dc, "HEAD_ROWS", 3)
+    monkeypatch.setattr(dc, "HEAD_TERM_BYTES", 4)
+    words = {f"t{i}" if i % 2 else f"longterm{i}": 100 - i for i in range(50)}
+    dictionary = dc.build_dictionary(counts(spark, **words))
+    known = dictionary.select(key).collect()
+    keys = [r[key] for r in known] * 3 + [known[0][key]] * 500
+    unknown = ["unknown"] if key == "term" else [10**6]
+    kind = "string" if key == "term" else "bigint"
+    entries = spark.createDataFrame(
+        [(k, i) for i, k in enumerate(keys + unknown)], f"{key} {kind}, row int"
+    )
+
+    def result(small):
+        found = dc.lookup(entries, dictionary, key, small=small)
+        return sorted((r["row"], r["idx"], r["term"]) for r in found.collect())
+
+    assert result(True) == result(False)
+    assert len(result(True)) == len(keys)
+
+
+def test_broadcast_is_decided_by_measured_size(spark):
+    dictionary = dc.build_dictionary(counts(spark, aa=2, b=1))
+    assert dc.dictionary_bytes(dictionary) == 3 + 2 * 64
+    assert dc.fits_broadcast(dictionary, 200) and not dc.fits_broadcast(dictionary, 100)
