@@ -1,0 +1,66 @@
+import json
+
+import pytest
+
+from termloom.sources import documents as ds
+from termloom.sources import scores as sc
+
+
+def write(path, *records):
+    path.write_text("".join((r if isinstance(r, str) else json.dumps(r)) + "\n" for r in records))
+    return str(path)
+
+
+def test_documents(spark, tmp_path):
+    one = write(
+        tmp_path / "a.jsonl",
+        {"doc_id": 7, "extracted_text": " hi \n", "class": 1, "cluster_id": "c", "other": [1]},
+        {"extracted_text": None, "class": 0.0, "cluster_id": "d"},
+    )
+    two = write(tmp_path / "b.jsonl", {"cluster_id": "e"}, {"cluster_id": "e"})
+    docs = ds.read_documents(spark, [one, two])
+    assert sorted(tuple(r) for r in docs.fillna("-", "doc_id").fillna(-1).collect()) == [
+        ("-", "d", 0, ""), ("-", "e", -1, ""), ("-", "e", -1, ""), ("7", "c", 1, "hi"),
+    ]
+    assert docs.columns == ["doc_id", "cluster_id", "label", "extracted_text"]
+
+
+def test_malformed_line_fails_or_is_kept(spark, tmp_path):
+    path = write(tmp_path / "a.jsonl", {"cluster_id": "c"}, "{broken")
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        ds.read_documents(spark, path).collect()
+    kept = ds.read_documents(spark, path, permissive=True).collect()
+    assert {r["_corrupt_record"] for r in kept} == {None, "{broken"}
+
+
+def test_missing_cluster_id_fails(spark, tmp_path):
+    path = write(tmp_path / "a.jsonl", {"extracted_text": "x"})
+    with pytest.raises(Exception, match="without cluster_id"):
+        ds.read_documents(spark, path).collect()
+
+
+def test_classes_are_merged_with_distinct_ids(spark):
+    docs = spark.createDataFrame([("1", "x"), ("1", "x")], "cluster_id string, extracted_text string")
+    merged = ds.merge_classes(docs, docs.limit(1)).collect()
+    assert sorted((r["cluster_id"], r["label"]) for r in merged) == [("n1", 0), ("p1", 1), ("p1", 1)]
+
+
+def test_predictions_to_submission(spark, tmp_path):
+    predictions = spark.createDataFrame(
+        [("c1", 1, 0.25, 0.75), ("c,2", 0, 0.9, 0.1)],
+        "VectorId string, TopClass int, `0` double, `1` double",
+    )
+    sc.write_predictions(predictions.coalesce(1), str(tmp_path / "p.csv"))
+    part = next((tmp_path / "p.csv").glob("part-*.csv")).read_text().splitlines()
+    assert part == ["VectorId,TopClass,0,1", "c1,1,0.25,0.75", '"c,2",0,0.9,0.1']
+    read = sc.read_predictions(spark, str(tmp_path / "p.csv"))
+    sc.write_json_lines(sc.submission_scores(read), str(tmp_path / "s.jsonl"))
+    scores = sc.read_scores(spark, str(tmp_path / "s.jsonl")).collect()
+    assert {tuple(r) for r in scores} == {("c1", 0.75), ("c,2", 0.1)}
+
+
+def test_scores_keep_named_fields_and_truth_is_read(spark, tmp_path):
+    path = write(tmp_path / "s", {"cluster_id": "c", "score": 1, "note": "n"})
+    assert tuple(sc.read_scores(spark, path, "note string").first()) == ("c", 1.0, "n")
+    path = write(tmp_path / "t", {"cluster_id": "c", "class": 1})
+    assert tuple(sc.read_truth(spark, path).first()) == ("c", 1)
