@@ -81,19 +81,28 @@ def cluster_vectors(cluster_table: DataFrame, entries: DataFrame) -> DataFrame:
     return cluster_table.join(entries, "cluster_id", "left")
 
 
-def assemble(cluster_table: DataFrame, entries: DataFrame) -> DataFrame:
+def assemble(
+    cluster_table: DataFrame, entries: DataFrame, segment_size: int | None = None
+) -> DataFrame:
     """One row per cluster with ``entries``, an array of ``(idx, value)`` by index.
 
     A vector holds each term at most once, so its length is bounded by the
-    dictionary however many documents the cluster has.
+    dictionary however many documents the cluster has.  Where the dictionary is too
+    large for one row, ``segment_size`` cuts each vector into rows of so many
+    indices, numbered by ``segment``; the classifier takes either form.
     """
-    vectors = entries.groupBy("cluster_id").agg(
+    keys = ["cluster_id"]
+    if segment_size:
+        entries = entries.withColumn("segment", F.floor(F.col("idx") / segment_size))
+        keys.append("segment")
+    vectors = entries.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(F.col("idx"), F.col("value")))).alias("entries")
     )
     empty = F.array().cast("array<struct<idx:bigint,value:double>>")
-    return cluster_table.join(vectors, "cluster_id", "left").withColumn(
+    whole = cluster_table.join(vectors, "cluster_id", "left").withColumn(
         "entries", F.coalesce("entries", empty)
     )
+    return whole.fillna(0, ["segment"]) if segment_size else whole
 
 
 def explain_vector(entries: DataFrame, dictionary: DataFrame) -> DataFrame:

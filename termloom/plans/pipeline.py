@@ -16,6 +16,9 @@ from termloom.operators import svm
 from termloom.operators import vectors as vc
 from termloom.session import materialize, spread
 
+# Indices a row of a model vector spans at most.
+SEGMENT_SIZE = 1_000_000
+
 
 @dataclass(frozen=True)
 class TermOptions:
@@ -57,9 +60,15 @@ def vectorize(
     return vc.clusters(bags), vc.cluster_entries(bags, dictionary, merge)
 
 
-def assembled_vectors(bags: DataFrame, dictionary: DataFrame, merge: str = "max") -> DataFrame:
-    """One row per cluster with its sparse vector, written once for training."""
-    return spread(materialize(vc.assemble(*vectorize(bags, dictionary, merge))), "cluster_id")
+def model_vectors(
+    bags: DataFrame,
+    dictionary: DataFrame,
+    merge: str = "max",
+    segment_size: int = SEGMENT_SIZE,
+) -> DataFrame:
+    """The sparse vector of each cluster in bounded rows, written once for training."""
+    vectors = vc.assemble(*vectorize(bags, dictionary, merge), segment_size)
+    return spread(materialize(vectors), "cluster_id", "segment")
 
 
 @dataclass(frozen=True)

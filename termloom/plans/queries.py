@@ -373,7 +373,7 @@ def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         label=F.col("quality"),
     )
     bags = pl.corpus_bags(documents)
-    return pl.assembled_vectors(bags, pl.build_dictionary(bags))
+    return pl.model_vectors(bags, pl.build_dictionary(bags))
 
 
 def rbf_decision(spark, sf_dir):

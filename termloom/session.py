@@ -22,6 +22,8 @@ def build_session(
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "128MB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # rows that hold long vectors go to Python in batches of bounded bytes
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
     )
     if master:
         builder = builder.master(master)
