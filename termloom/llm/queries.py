@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import pii
+from termloom.llm import packing, pii
 from termloom.llm.common import ROW, read_table
 
 
@@ -24,4 +24,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pii": op1_pii}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into sequences of power-of-two lengths up to 1024."""
+    return packing.pack(read_table(spark, sf_dir, "documents")).drop("ids")
+
+
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op3_packing": op3_packing,
+}
