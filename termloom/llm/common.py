@@ -25,9 +25,9 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def kept_row(docs: DataFrame) -> Column:
-    """All columns of a table as one struct, so that added names cannot clash."""
-    return F.struct(*[named(c) for c in docs.columns]).alias(ROW)
+def kept_row(docs: DataFrame, columns: Iterable[str] | None = None) -> Column:
+    """Columns of a table (all by default) as one struct, so that added names cannot clash."""
+    return F.struct(*[named(c) for c in columns or docs.columns]).alias(ROW)
 
 
 def unpacked(columns: Iterable[str]) -> list[Column]:

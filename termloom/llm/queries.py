@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import packing, pii
+from termloom.llm import packing, pii, rules
 from termloom.llm.common import ROW, read_table
 
 
@@ -29,7 +29,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels")
+    slim = rules.judge(docs, labels, carry=["doc_id", "lang"])
+    return slim.select(
+        F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "n_repeat_words", "base_failed", "kept",
+    )
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_packing": op3_packing,
+    "op9_rules": op9_rules,
 }
