@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import packing, pii, rules
+from termloom.llm import neardup, packing, pii, rules
 from termloom.llm.common import ROW, read_table
 
 
@@ -40,8 +40,14 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicates of every document."""
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_packing": op3_packing,
+    "op8_neardup": op8_neardup,
     "op9_rules": op9_rules,
 }
