@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import neardup, packing, pii, rules
+from termloom.llm import decontaminate, neardup, packing, pii, rules
 from termloom.llm.common import ROW, read_table
 
 
@@ -40,6 +40,20 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    found = decontaminate.contamination(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+    )
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near-duplicates of every document."""
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -48,6 +62,7 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_packing": op3_packing,
+    "op5_decontaminate": op5_decontaminate,
     "op8_neardup": op8_neardup,
     "op9_rules": op9_rules,
 }

@@ -12,6 +12,17 @@ MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_2 = np.uint64(0x94D049BB133111EB)
 
 
+def translated(texts: pa.Array, table: bytes) -> pa.Array:
+    """The texts with every byte replaced by ``table``, which must keep UTF-8 valid."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset)
+    piece = data.slice(int(bounds[0]), int(bounds[-1] - bounds[0])).to_pybytes() if data else b""
+    return pa.LargeStringArray.from_buffers(
+        len(texts), pa.py_buffer((bounds - bounds[0]).tobytes()), pa.py_buffer(piece.translate(table))
+    )
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * MIX_1
