@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import decontaminate, neardup, packing, pii, rules
+from termloom.llm import decontaminate, neardup, packing, pii, rules, tokenfile
 from termloom.llm.common import ROW, read_table
+from termloom.session import shared_folder
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +62,20 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as shards with a key index and read back."""
+    path = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    tokenfile.write(read_table(spark, sf_dir, "documents"), path)
+    return tokenfile.documents_of(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_packing": op3_packing,
     "op5_decontaminate": op5_decontaminate,
     "op8_neardup": op8_neardup,
     "op9_rules": op9_rules,
+    "op10_tokenfile": op10_tokenfile,
 }
