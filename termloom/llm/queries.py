@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import decontaminate, neardup, packing, pii, rules, tokenfile
+from termloom.llm import decontaminate, neardup, packing, pii, ranking, rules, tokenfile
 from termloom.llm.common import ROW, read_table
 from termloom.session import shared_folder
 
@@ -57,6 +57,20 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a quarter of the keys is kept out of the fit."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    model = ranking.fit(docs, read_table(spark, sf_dir, "labels").where(~held_out))
+    scored = ranking.score(docs, model, carry=["doc_id"])
+    return scored.select(F.col(ROW)["doc_id"].alias("doc_id"), "score").select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near-duplicates of every document."""
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -75,6 +89,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op3_packing": op3_packing,
     "op5_decontaminate": op5_decontaminate,
+    "op7_quality": op7_quality,
     "op8_neardup": op8_neardup,
     "op9_rules": op9_rules,
     "op10_tokenfile": op10_tokenfile,
