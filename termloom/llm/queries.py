@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import decontaminate, neardup, packing, pii, ranking, rules, tokenfile
+from termloom.llm import ctw, decontaminate, neardup, packing, pii, ranking, rules, tokenfile
 from termloom.llm.common import ROW, read_table
 from termloom.session import shared_folder
 
@@ -27,6 +27,16 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document; a fifth of the keys is kept out of training."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
+    return ctw.scores(docs, ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score",
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into sequences of power-of-two lengths up to 1024."""
     return packing.pack(read_table(spark, sf_dir, "documents")).drop("ids")
@@ -87,6 +97,7 @@ def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_ctw": op2_ctw,
     "op3_packing": op3_packing,
     "op5_decontaminate": op5_decontaminate,
     "op7_quality": op7_quality,
