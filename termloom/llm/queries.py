@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import ctw, decontaminate, neardup, packing, pii, ranking, rules, tokenfile
+from termloom.llm import ctw, decontaminate, licenses, neardup, packing, pii, ranking, rules, tokenfile
 from termloom.llm.common import ROW, read_table
 from termloom.session import shared_folder
 
@@ -67,6 +67,16 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    found = licenses.scan(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select(
+        F.col(ROW)["doc_id"].alias("doc_id"), "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; a quarter of the keys is kept out of the fit."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -100,6 +110,7 @@ QUERIES = {
     "op2_ctw": op2_ctw,
     "op3_packing": op3_packing,
     "op5_decontaminate": op5_decontaminate,
+    "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
     "op8_neardup": op8_neardup,
     "op9_rules": op9_rules,
