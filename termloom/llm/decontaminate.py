@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import named, text_of
+from termloom.llm.common import ROW, kept_row, named, text_of, unpacked
 from termloom.llm.encoding import slices
 from termloom.llm.shingles import translated
 from termloom.session import materialize
@@ -61,7 +61,7 @@ def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 
 
 def build_index(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = 64
+    docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = 16
 ) -> DataFrame:
     """Index rows of all documents (see ``INDEX_TYPE``)."""
     slim = docs.select(named(key).alias("key"), text_of(text).alias("t"))
@@ -273,3 +273,15 @@ def contamination(
 def contaminated(percent: int = 5):
     """At least one word in twenty lies inside an occurrence."""
     return (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their own columns.
+
+    Rows are told apart by a number of their own, so repeated keys are judged each.  Only the
+    few contaminated rows are moved to be taken out.
+    """
+    marked = materialize(docs.select(kept_row(docs), F.monotonically_increasing_id().alias("row")))
+    slim = marked.select("row", F.col(ROW)["text"].alias("text"))
+    bad = contamination(slim, benchmark, key="row").where(contaminated()).select("row")
+    return marked.join(bad, "row", "left_anti").select(*unpacked(docs.columns))

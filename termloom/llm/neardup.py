@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import named, text_of
+from termloom.llm.common import ROW, kept_row, named, text_of, unpacked
 from termloom.llm.components import components
 from termloom.llm.encoding import slices
 from termloom.llm.shingles import PRIME, mixed, shingle_sets
@@ -235,3 +235,18 @@ def near_duplicates(
         "component_id",
         F.coalesce(F.col("key") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component with its own columns; rows without words are all kept.
+
+    Rows are told apart by a number of their own, so repeated keys lose their copies too.
+    """
+    marked = materialize(docs.select(kept_row(docs), F.monotonically_increasing_id().alias("row")))
+    slim = marked.select(
+        F.struct(F.col(ROW)[key].alias("k"), F.col("row").alias("r")).alias("key"),
+        F.col(ROW)[text].alias("text"),
+    )
+    found = near_duplicates(slim, key="key", text="text")
+    gone = found.where(~F.col("kept")).select(F.col("key")["r"].alias("row"))
+    return marked.join(gone, "row", "left_anti").select(*unpacked(docs.columns))
