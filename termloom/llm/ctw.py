@@ -36,13 +36,12 @@ from pyspark.sql import functions as F
 
 from termloom.llm.common import named, text_of
 from termloom.llm.encoding import slices
-from termloom.llm.shingles import translated
+from termloom.llm.shingles import LOWER, translated
 from termloom.session import materialize
 
 BLOCK_BYTES = 32 << 20
 #: A byte that UTF-8 never holds: it pads the context before a text and ends the text.
 EDGE = 0xFF
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Depth at which the tree is dealt out by subtree.
 CUT = 2
 

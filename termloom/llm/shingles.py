@@ -12,14 +12,21 @@ MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_2 = np.uint64(0x94D049BB133111EB)
 
 
-def translated(texts: pa.Array, table: bytes) -> pa.Array:
-    """The texts with every byte replaced by ``table``, which must keep UTF-8 valid."""
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def translated(texts: pa.Array, table: bytes | None = None) -> pa.Array:
+    """The texts (null: empty) with every byte replaced by ``table``, which must keep UTF-8 valid.
+
+    The result starts at the first byte of its own buffer: string kernels go wrong on
+    slices that begin inside one.
+    """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     _, offsets, data = texts.buffers()
     bounds = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset)
     piece = data.slice(int(bounds[0]), int(bounds[-1] - bounds[0])).to_pybytes() if data else b""
     return pa.LargeStringArray.from_buffers(
-        len(texts), pa.py_buffer((bounds - bounds[0]).tobytes()), pa.py_buffer(piece.translate(table))
+        len(texts), pa.py_buffer((bounds - bounds[0]).tobytes()), pa.py_buffer(piece.translate(table) if table else piece)
     )
 
 
@@ -32,8 +39,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word (A-Z in lower case, cut at ASCII white space) and words per text."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    texts = pc.ascii_trim_whitespace(translated(texts, LOWER))
     cut = pc.ascii_split_whitespace(texts)
     offsets = cut.offsets.to_numpy().astype(np.int64)
     words = cut.flatten().dictionary_encode()
