@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from termloom.llm.shingles import translated
+
 # Characters that form one piece of their own after a word.
 TAIL = ".,;:!?#$%&*|()\"-"
 # White space before a space: the cut rule does not hold there.
@@ -42,7 +44,7 @@ def default_tokenizer() -> str:
 class Encoder:
     """``encode`` gives the ids of a batch; the piece cache holds at most ``limit`` entries."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -88,7 +90,7 @@ class Encoder:
         """Ids of all texts one after another, and the number of ids of each text."""
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = translated(texts)
         unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
         cuts = pc.split_pattern(pc.if_else(pa.array(unsafe), "", texts), " ")
         bounds = cuts.offsets.to_numpy() - cuts.offsets[0].as_py()
@@ -121,7 +123,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
     """Cuts a batch into runs of rows of about ``most_bytes`` of text (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     group = (np.cumsum(sizes.astype(np.int64)) - sizes) // most_bytes

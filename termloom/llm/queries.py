@@ -100,7 +100,7 @@ def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written as shards with a key index and read back."""
     path = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     tokenfile.write(read_table(spark, sf_dir, "documents"), path)
-    return tokenfile.documents_of(spark, path).select(
+    return tokenfile.read(spark, path).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
 

@@ -143,8 +143,25 @@ def _records(shard: dict, key: object) -> range:
     return range(first, first + count)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(key, part, start_in_part, n_tokens, ids) of all documents, each found by its key."""
+def part_starts(spark: SparkSession, path: str) -> dict[int, int]:
+    """Ids of all documents in earlier range partitions, for each range partition."""
+    sizes = (
+        spark.read.parquet(path).groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part")
+    ).collect()
+    starts, before = {}, 0
+    for part, n in sizes:
+        starts[part] = before
+        before += n
+    return starts
+
+
+def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+    """(key, start, n_tokens, ids) of all documents, each found by its key.
+
+    ``start`` counts the ids of all documents before it.  A scan of the shards: the tasks get
+    one number for each range partition.
+    """
+    starts = part_starts(spark, path)
     table = spark.read.parquet(path)
     kind = table.schema["first"].dataType.simpleString()
 
@@ -154,7 +171,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 shard = _decoded(batch, i)
                 keys = batch.column("keys")[i].values
                 plain = keys.to_pylist()
-                begun = batch.column("start")[i].as_py()
+                begun = starts[batch.column("part")[i].as_py()] + batch.column("start")[i].as_py()
                 place, previous = [], None
                 for number, key in enumerate(plain):
                     if number and key == previous:
@@ -171,8 +188,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.record_batch(
                     {
                         "key": keys,
-                        "part": pa.array([batch.column("part")[i].as_py()] * len(keys), pa.int32()),
-                        "start_in_part": pa.array(begun + offset[place]),
+                        "start": pa.array(begun + offset[place]),
                         "n_tokens": pa.array(n[place]),
                         "ids": pa.array(
                             [ids[4 * int(offset[p]):4 * int(offset[p + 1])] for p in place],
@@ -183,19 +199,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     return table.select(
         "part", "start", "keys", "shift", "prints", "entry", "offset", "ids"
-    ).mapInArrow(run, f"key {kind}, part int, start_in_part long, n_tokens long, ids binary")
-
-
-def part_starts(spark: SparkSession, path: str) -> DataFrame:
-    """(part, before): ids of all documents in earlier range partitions; one row each."""
-    sizes = (
-        spark.read.parquet(path).groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part")
-    ).collect()
-    rows, before = [], 0
-    for part, n in sizes:
-        rows.append((part, before))
-        before += n
-    return spark.createDataFrame(rows, "part int, before long")
+    ).mapInArrow(run, f"key {kind}, start long, n_tokens long, ids binary").withColumnRenamed(
+        "key", key
+    )
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -248,17 +254,3 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id")
         .mapInArrow(run, f"key {kind}, ids binary")
         .withColumnRenamed("key", key)
     )
-
-
-def documents_of(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """(key, start, n_tokens, ids) of every document; start counts all documents before it."""
-    return (
-        read(spark, path)
-        .join(part_starts(spark, path), "part")
-        .select(
-            F.col("key").alias(key),
-            (F.col("before") + F.col("start_in_part")).alias("start"),
-            "n_tokens",
-            "ids",
-        )
-    )
