@@ -65,7 +65,7 @@ TRIMMED_CHARS = "".join(chr(code) for code in range(0x21))
 # meaning differs between regex engines.
 SPACE = r"[ \t\n\f\r]"
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^ \t\n\f\r\p{L}\p{N}]"
-SENTENCE_END_PATTERN = r"([.!?])[ \t\n\f\r]+"
+SENTENCE_END_PATTERN = r"(?<=[.!?])[ \t\n\f\r]+"
 LETTERS_PATTERN = r"^\p{L}+$"
 DIGITS_PATTERN = r"^\p{N}+$"
 # ----------------------------------------------------------------------------
@@ -91,8 +91,7 @@ def featured_text(text: Column | str) -> Column:
 
 def split_sentences(text: Column | str) -> Column:
     """Cut a text after '.', '!' or '?' followed by white space."""
-    marked = F.regexp_replace(_col(text), SENTENCE_END_PATTERN, "$1" + _BREAK)
-    return F.split(marked, _BREAK)
+    return F.split(_col(text), SENTENCE_END_PATTERN)
 
 
 def split_tokens(sentence: Column | str) -> Column:

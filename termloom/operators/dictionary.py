@@ -14,9 +14,9 @@ from termloom.operators.ordering import with_dense_index
 from termloom.session import BROADCAST_LIMIT_BYTES
 
 # Rows of the most frequent dictionary head that are joined by broadcast when the
-# whole dictionary is too large; with the length bound they stay near 10 MB.
+# whole dictionary is too large, and the bytes that their terms may have in all.
 HEAD_ROWS = 10_000
-HEAD_TERM_BYTES = 1_000
+HEAD_BYTES = 10_000_000
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
@@ -101,16 +101,29 @@ def split_head(
 
     The head is the bounded number of most frequent rows, the only keys that can be
     hot: the term at rank r holds at most 1/r of all occurrences.  It goes out by
-    broadcast; what is left can be shuffled by key without skew.
+    broadcast; what is left can be shuffled by key without skew.  Very long terms make
+    the head shorter and never drop a frequent term out of its middle.
     """
     table = dictionary.select("idx", "term")
-    in_head = (F.col("idx") < HEAD_ROWS) & (F.octet_length("term") <= HEAD_TERM_BYTES)
+    in_head = F.col("idx") < head_rows(table)
     head = table.where(in_head)
     hot = entries.join(F.broadcast(head), key)
     cold = entries.join(F.broadcast(head.select(key)), key, "left_anti")
     return hot, cold, table.where(~in_head)
 
 
+def head_rows(dictionary: DataFrame) -> int:
+    """The largest of ``HEAD_ROWS`` and its halves whose terms fit ``HEAD_BYTES``."""
+    steps = [HEAD_ROWS >> i for i in range(HEAD_ROWS.bit_length())]
+    sizes = dictionary.where(F.col("idx") < HEAD_ROWS).agg(
+        *[
+            F.sum(F.when(F.col("idx") < k, F.octet_length("term"))).alias(str(k))
+            for k in steps
+        ]
+    ).first()
+    return next((k for k in steps if (sizes[str(k)] or 0) <= HEAD_BYTES), 0)
+
+
 def lookup(
     entries: DataFrame,
     dictionary: DataFrame,
@@ -120,8 +133,11 @@ def lookup(
     """Inner join of entries to a dictionary on ``term`` or ``idx``.
 
     A dictionary of a checked size is broadcast; a larger one is joined in two parts,
-    see :func:`split_head`.
+    see :func:`split_head`.  Of a term that the dictionary lists twice the last index
+    counts on either way.
     """
+    if key == "term":
+        dictionary = reverse_dictionary(dictionary)
     if fits_broadcast(dictionary) if small is None else small:
         return entries.join(F.broadcast(dictionary.select("idx", "term")), key)
     hot, cold, tail = split_head(entries, dictionary, key)

@@ -32,32 +32,42 @@ def both_agree(first: Column, second: Column, threshold: float = 0.5) -> Column:
     )
 
 
-def matched(primary: DataFrame, secondary: DataFrame) -> DataFrame:
+def matched(
+    primary: DataFrame, secondary: DataFrame, order_column: str | None = None
+) -> DataFrame:
     """All primary records with ``second_score``, null where there is none.
 
-    ``secondary`` must be unique by id, so a primary id that repeats can be split
-    over tasks by the skew handling of the join.
+    Of a secondary id that repeats the last record by ``order_column`` counts; without an
+    order a repeated id fails the job.  So no primary record is multiplied, and one that
+    repeats can be split over tasks by the skew handling of the join.
     """
+    single = dedup_last(secondary, order_column) if order_column else unique_scores(secondary)
     return primary.join(
-        secondary.select("cluster_id", F.col("score").alias("second_score")),
+        single.select("cluster_id", F.col("score").alias("second_score")),
         "cluster_id",
         "left",
     )
 
 
-def fuse(primary: DataFrame, secondary: DataFrame) -> DataFrame:
+def fuse(
+    primary: DataFrame, secondary: DataFrame, order_column: str | None = None
+) -> DataFrame:
     """Mean of both scores, or the primary one alone; other fields are kept."""
     fused = F.when(
         F.col("second_score").isNotNull(), 0.5 * (F.col("score") + F.col("second_score"))
     ).otherwise(F.col("score"))
     return (
-        matched(primary, secondary).withColumn("score", fused).select(*primary.columns)
+        matched(primary, secondary, order_column)
+        .withColumn("score", fused)
+        .select(*primary.columns)
     )
 
 
-def agreement(primary: DataFrame, secondary: DataFrame) -> DataFrame:
+def agreement(
+    primary: DataFrame, secondary: DataFrame, order_column: str | None = None
+) -> DataFrame:
     """Records in all, records without a partner, partners that agree before fusion."""
-    pairs = matched(primary, secondary)
+    pairs = matched(primary, secondary, order_column)
     return pairs.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("second_score").isNull()).alias("missed"),

@@ -43,8 +43,8 @@ def rbf_decision(
 
     ``rows`` has ``features``, a dense array; ``support`` has ``features`` and
     ``coef``.  A small support table (measured) is shipped to every task and rows
-    stream past it; a larger one is cut into blocks of that size.  The id must be
-    unique.
+    stream past it; a larger one is cut into blocks of that size.  Rows that
+    repeat an id are decided each on either way.
     """
     n_support, size = support_size(support)
     if n_support == 0:
@@ -95,9 +95,13 @@ def _blocked(
     """
     slices = max(1, math.ceil(rows.count() / rows_per_slice))
     spread_rows = rows.select(
-        F.col(id_column).alias("_id"),
+        F.struct(
+            F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row")
+        ).alias("_id"),
         F.col("features"),
-        F.pmod(F.xxhash64(F.col(id_column)), F.lit(slices)).alias("_slice"),
+    ).select(
+        "*",
+        F.pmod(F.xxhash64("_id"), F.lit(slices)).alias("_slice"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"),
     )
     distinct_support = support.groupBy("features").agg(F.sum("coef").alias("coef"))
@@ -123,10 +127,11 @@ def _blocked(
         )
         return pd.DataFrame({"_id": left["_id"], "part": sums})
 
-    id_type = rows.schema[id_column].dataType.simpleString()
+    id_type = spread_rows.schema["_id"].dataType.simpleString()
     parts = (
         spread_rows.groupBy("_block", "_slice")
         .cogroup(spread_support.groupBy("_block", "_slice"))
         .applyInPandas(partial, f"_id {id_type}, part double")
     )
-    return parts.groupBy(F.col("_id").alias(id_column)).agg(F.sum("part").alias("decision"))
+    sums = parts.groupBy("_id").agg(F.sum("part").alias("decision"))
+    return sums.select(F.col("_id")["id"].alias(id_column), "decision")

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.operators.dictionary import exploded_bags, fits_broadcast, lookup, split_head
+from termloom.operators.dictionary import (
+    exploded_bags,
+    fits_broadcast,
+    lookup,
+    reverse_dictionary,
+    split_head,
+)
 
 _MERGES = {
     "max": lambda: F.max("n").cast("double"),
@@ -53,7 +59,9 @@ def cluster_entries(
 
     A small dictionary is joined first, which drops unknown terms and shuffles
     integers.  With a large one this is done for its frequent head only; the other
-    entries are shuffled once, by term, which serves both the merge and the join.
+    entries are merged by (cluster, term), combined before that shuffle, and then
+    meet the rest of the dictionary by term.  Of a term listed twice the last index
+    counts.
     """
     small = fits_broadcast(dictionary) if small_dictionary is None else small_dictionary
     entries = exploded_bags(bags, "cluster_id")
@@ -62,9 +70,9 @@ def cluster_entries(
         known = lookup(entries, dictionary, small=True)
         merged = known.groupBy("cluster_id", "idx").agg(combine)
     else:
-        hot, cold, tail = split_head(entries, dictionary)
+        hot, cold, tail = split_head(entries, reverse_dictionary(dictionary))
         frequent = hot.groupBy("cluster_id", "idx").agg(combine)
-        rare = cold.repartition("term").groupBy("cluster_id", "term").agg(combine)
+        rare = cold.groupBy("cluster_id", "term").agg(combine)
         merged = frequent.unionByName(
             rare.join(tail, "term").select("cluster_id", "idx", "value")
         )
@@ -77,8 +85,23 @@ def cluster_entries(
 
 
 def cluster_vectors(cluster_table: DataFrame, entries: DataFrame) -> DataFrame:
-    """Long form with every cluster; one without a known term has a null ``idx``."""
-    return cluster_table.join(entries, "cluster_id", "left")
+    """Long form with every cluster; one without a known term has a null ``idx``.
+
+    The entries meet the cluster table in an inner join, which broadcasts a small table or
+    splits a hot cluster; clusters without entries are added apart.
+    """
+    columns = ["cluster_id", *[c for c in cluster_table.columns if c != "cluster_id"]]
+    columns += [c for c in entries.columns if c != "cluster_id"]
+    found = entries.join(cluster_table, "cluster_id").select(*columns)
+    bare = cluster_table.join(entries.select("cluster_id").distinct(), "cluster_id", "left_anti")
+    missing = [
+        F.lit(None).cast(entries.schema[c].dataType).alias(c)
+        for c in entries.columns
+        if c != "cluster_id"
+    ]
+    return found.unionByName(
+        bare.select(*[c for c in columns if c in cluster_table.columns], *missing)
+    )
 
 
 def assemble(

@@ -86,7 +86,7 @@ terms AS (
 
 _DICTIONARY = """
 counts AS (SELECT term, count(*) AS n FROM terms GROUP BY term),
-dictionary AS (
+dictionary AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY n DESC, term) - 1 AS idx, term, n FROM counts)"""
 
 _DOC_VECTORS = """
@@ -100,7 +100,7 @@ def _entries(aggregate: str) -> str:
 clusters AS (
   SELECT cluster_id, min(label) AS label, count(*) AS n_docs
   FROM corpus GROUP BY cluster_id),
-entries AS (
+entries AS MATERIALIZED (
   SELECT cluster_id, idx, {aggregate} AS value
   FROM doc_vectors JOIN corpus USING (doc_id) JOIN clusters USING (cluster_id)
   GROUP BY cluster_id, idx)"""
@@ -133,6 +133,17 @@ labelled_scores AS (
 predicted AS (
   SELECT CAST(score >= 0.5 AS INTEGER) AS predicted, class AS actual FROM labelled_scores)"""
 
+_ALL_PREDICTED = """
+all_predicted AS (
+  SELECT CAST(score >= 0.5 AS INTEGER) AS predicted, class AS actual
+  FROM text_scores LEFT JOIN truth USING (cluster_id)),
+cells AS (
+  SELECT CASE WHEN predicted IN (0, 1) THEN CAST(predicted AS VARCHAR)
+              WHEN predicted IS NULL THEN 'unlabelled' ELSE 'other' END AS predicted,
+         CASE WHEN actual IN (0, 1) THEN CAST(actual AS VARCHAR)
+              WHEN actual IS NULL THEN 'unlabelled' ELSE 'other' END AS actual
+  FROM all_predicted)"""
+
 _ROC = """
 groups AS (
   SELECT score, count(*) FILTER (class = 1) AS pos, count(*) FILTER (class <> 1) AS neg
@@ -263,21 +274,23 @@ FROM documents""",
     + _ALIGNMENT.format("text", "text_scores")
     + " UNION ALL "
     + _ALIGNMENT.format("image", "image_records"),
-    "confusion_matrix": _with(_SCORES)
-    + """SELECT CASE WHEN grouping(predicted) = 1 THEN 'actual_total'
-                     ELSE CAST(predicted AS VARCHAR) END AS predicted,
-                count(actual) FILTER (actual = 0) AS actual_0,
-                count(actual) FILTER (actual = 1) AS actual_1,
+    "confusion_matrix": _with(_SCORES, _ALL_PREDICTED)
+    + """SELECT predicted, count(actual) FILTER (actual = '0') AS actual_0,
+                count(actual) FILTER (actual = '1') AS actual_1,
+                count(actual) FILTER (actual = 'other') AS actual_other,
+                count(actual) FILTER (actual = 'unlabelled') AS actual_unlabelled,
                 count(actual) AS predicted_total
-         FROM (SELECT * FROM predicted
-               UNION ALL SELECT unnest([0, 1]), NULL)
-         GROUP BY ROLLUP (predicted)""",
+         FROM (SELECT * FROM cells
+               UNION ALL SELECT unnest(['0', '1', 'other', 'unlabelled']), NULL
+               UNION ALL SELECT 'actual_total', actual FROM cells)
+         GROUP BY predicted""",
     "confusion_counts": _with(_SCORES)
     + "SELECT predicted, actual, count(*) AS n FROM predicted GROUP BY CUBE (predicted, actual)",
-    "error_rate": _with(_SCORES)
-    + """SELECT count(*) AS total, count(*) FILTER (predicted <> actual) AS errors,
-                round(100.0::DOUBLE * count(*) FILTER (predicted <> actual) / count(*), 9)
-                  AS error_percent FROM predicted""",
+    "error_rate": _with(_SCORES, _ALL_PREDICTED)
+    + """SELECT count(*) AS total, count(actual) AS labelled,
+                count(*) FILTER (predicted <> actual) AS errors,
+                round(100.0::DOUBLE * count(*) FILTER (predicted <> actual) / count(actual), 9)
+                  AS error_percent FROM all_predicted""",
     "roc_curve": _with(_SCORES, _ROC)
     + """SELECT score AS threshold, round(CAST(fp AS DOUBLE) / CAST(n AS DOUBLE), 9) AS fpr,
                 round(CAST(tp AS DOUBLE) / CAST(p AS DOUBLE), 9) AS tpr

@@ -123,6 +123,15 @@ def predicted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def all_predicted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its predicted label; most have no actual one."""
+    scores = text_scores(spark, sf_dir).select("cluster_id", "score")
+    return scores.join(truth(spark, sf_dir), "cluster_id", "left").select(
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.col("class").alias("actual"),
+    )
+
+
 # ---- text and dictionary ---------------------------------------------------
 
 
@@ -131,13 +140,11 @@ def load_documents(spark, sf_dir):
 
 
 def label_and_prefix(spark, sf_dir):
-    labelled = labelled_table(spark, sf_dir)
-
-    def of_class(quality):
-        rows = labelled.where(F.col("quality") == quality)
-        return ds.as_documents(rows, "text", "source", doc_id="doc_id")
-
-    return ds.merge_classes(of_class(1), of_class(0))
+    labelled = labelled_table(spark, sf_dir).where("quality in (0, 1)")
+    prefix = F.when(F.col("quality") == 1, "p").otherwise("n")
+    return ds.as_documents(
+        labelled, "text", F.concat(prefix, "source"), label=F.col("quality"), doc_id="doc_id"
+    )
 
 
 def tokenize(spark, sf_dir):
@@ -328,7 +335,7 @@ def alignment_check(spark, sf_dir):
 
 
 def confusion_matrix(spark, sf_dir):
-    return ev.confusion_matrix(predicted_labels(spark, sf_dir), labels=(0, 1))
+    return ev.confusion_matrix(all_predicted_labels(spark, sf_dir), labels=(0, 1))
 
 
 def confusion_counts(spark, sf_dir):
@@ -336,7 +343,7 @@ def confusion_counts(spark, sf_dir):
 
 
 def error_rate(spark, sf_dir):
-    rate = ev.error_rate(predicted_labels(spark, sf_dir))
+    rate = ev.error_rate(all_predicted_labels(spark, sf_dir))
     return rate.withColumn("error_percent", F.round("error_percent", 9))
 
 

@@ -89,7 +89,7 @@ def test_text_lines_are_trimmed_and_the_last_duplicate_wins(spark, tmp_path):
 @pytest.mark.parametrize("key", ["term", "idx"])
 def test_large_and_small_lookup_agree(spark, monkeypatch, key):
     monkeypatch.setattr(dc, "HEAD_ROWS", 3)
-    monkeypatch.setattr(dc, "HEAD_TERM_BYTES", 4)
+    monkeypatch.setattr(dc, "HEAD_BYTES", 12)
     words = {f"t{i}" if i % 2 else f"longterm{i}": 100 - i for i in range(50)}
     dictionary = dc.build_dictionary(counts(spark, **words))
     known = dictionary.select(key).collect()
@@ -112,3 +112,19 @@ def test_broadcast_is_decided_by_measured_size(spark):
     dictionary = dc.build_dictionary(counts(spark, aa=2, b=1))
     assert dc.dictionary_bytes(dictionary) == 3 + 2 * 64
     assert dc.fits_broadcast(dictionary, 200) and not dc.fits_broadcast(dictionary, 100)
+
+
+def test_last_index_of_a_repeated_term_counts_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(dc, "HEAD_ROWS", 1)
+    dictionary = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a")], "idx bigint, term string")
+    entries = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "term string, row int")
+    for small in (True, False):
+        found = dc.lookup(entries, dictionary, small=small).collect()
+        assert {(r["row"], r["idx"]) for r in found} == {(1, 2), (2, 1)}
+
+
+def test_head_shrinks_with_long_terms(spark, monkeypatch):
+    monkeypatch.setattr(dc, "HEAD_ROWS", 8)
+    monkeypatch.setattr(dc, "HEAD_BYTES", 30)
+    dictionary = spark.createDataFrame([(i, "x" * 10) for i in range(20)], "idx bigint, term string")
+    assert dc.head_rows(dictionary) == 2

@@ -1,4 +1,6 @@
 import pytest
+
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from termloom.functions import svmlite
@@ -146,3 +148,25 @@ def test_training_file_with_an_id_fails(spark, tmp_path):
     (tmp_path / "v").write_text("c7 1:1\n")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         vs.read_svmlite_problem(spark, str(tmp_path / "v")).collect()
+
+
+def test_repeated_dictionary_terms_at_any_size(spark):
+    words = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a")], "idx bigint, term string")
+    bags = spark.createDataFrame([("k", 1, [("a", 3), ("b", 1)])], BAGS_SMALL)
+    for small in (True, False):
+        found = vc.cluster_entries(bags, words, small_dictionary=small).collect()
+        assert {(r["idx"], r["value"]) for r in found} == {(2, 3.0), (1, 1.0)}
+
+
+def test_no_shuffle_by_cluster_alone_under_an_outer_join(spark, words):
+    rows = [("hot" if i % 10 else f"c{i}", 1, [("a", 1), ("b", i)]) for i in range(300)]
+    bags = spark.createDataFrame(rows, BAGS_SMALL)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(vc.cluster_vectors(vc.clusters(bags), vc.cluster_entries(bags, words)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftOuter" not in plan and "RightOuter" not in plan
+
+
+BAGS_SMALL = "cluster_id string, label int, bag array<struct<term:string,n:bigint>>"
