@@ -5,11 +5,13 @@ shifted by k strides, gives coordinate k of the signature as a minimum.  Texts t
 all coordinates of a band meet in a bucket.  With 32 bands of 4 a pair at similarity 0.75
 is missed with probability 5e-6.
 
-Equal shingle sets are one class first, whatever their number.  A bucket then links its
-classes to one leader, which differs from band to band; these links are verified on the
-full sets and give components.  Only where a bucket still holds several components are its
-classes compared across them, after two exact bounds: the size ratio, and the triangle
-inequality of the Jaccard distance over the leader.  So no group of copies is expanded into
+Equal shingle sets are one class first, whatever their number.  The leader of a bucket is
+its least class, so a group of near copies has few leaders.  A class is tested on the full
+sets against the least of its leaders, then against the leaders that this left in another
+component.  Only where a bucket still holds several components are its classes compared
+across them, after three exact bounds on what two sets can share: without the shingles that
+one of them has alone, by the triangle inequality of the distance over the leader, and by
+the common bits of small bitmaps.  So no group of copies is expanded into
 its pairs and no pair of a bucket between components is left out.
 
 Defined results: a text without words is linked with nothing; a null key takes part and
@@ -92,7 +94,11 @@ def signed(
 
 
 def _sets(docs: DataFrame, picks: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(cls, n, shingles) of the classes in ``picks`` (cls, tkey, key): one text of each."""
+    """(cls, n, shingles, bits) of the classes in ``picks`` (cls, tkey, key): one text of each.
+
+    ``bits`` is a bitmap of the shingles; two sets have at most as many shingles in common as
+    common bits, plus the shingles that fall on a bit of their own set.
+    """
     slim = docs.select(
         F.xxhash64(text_of(text)).alias("tkey"), named(key).alias("key"), text_of(text).alias("t")
     )
@@ -109,12 +115,28 @@ def _sets(docs: DataFrame, picks: DataFrame, key: str, text: str, words: int) ->
                     "cls": batch.column("cls"),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    "bits": pa.array([bitmap(s) for s in sets], pa.list_(pa.int64())),
                 }
             )
 
-    sets = found.mapInArrow(run, "cls binary, n long, shingles array<long>")
+    sets = found.mapInArrow(run, "cls binary, n long, shingles array<long>, bits array<long>")
     return sets.groupBy("cls").agg(
-        F.first("n").alias("n"), F.first("shingles").alias("shingles")
+        *[F.first(c).alias(c) for c in ("n", "shingles", "bits")]
+    )
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """64 words with the bit of each shingle set."""
+    out = np.zeros(64, np.uint64)
+    at = shingles >> np.uint64(52)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(int), np.uint64(1) << (at & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def _common_bits(bits: str, others: str) -> Column:
+    return F.aggregate(
+        F.zip_with(bits, others, lambda x, y: F.bit_count(x.bitwiseAND(y))),
+        F.lit(0), lambda a, b: a + b,
     )
 
 
@@ -134,6 +156,41 @@ def _similar(percent: int) -> Column:
     return 100 * F.col("common") >= percent * F.col("united")
 
 
+def _sharing(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cls, n, shared, bits, lost) of the classes of ``rest``: size of the set, its shingles that
+    another class has (two sets have at most the lesser number in common), and its bitmap.
+    """
+    spread = (
+        rest.select("cls").distinct().join(sets, "cls").select("cls", F.explode("shingles").alias("s"))
+    )
+    shared = (
+        spread.groupBy("s")
+        .agg(F.count(F.lit(1)).alias("m"), F.first("cls").alias("cls"))
+        .where("m = 1")
+        .groupBy("cls")
+        .agg(F.count(F.lit(1)).alias("alone"))
+    )
+    return (
+        rest.select("cls").distinct().join(sets.select("cls", "n", "bits"), "cls")
+        .join(shared, "cls", "left")
+        .select(
+            "cls", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"), "bits",
+            (F.col("n") - _common_bits("bits", "bits")).alias("lost"),
+        )
+    )
+
+
+def _apart(pairs: DataFrame, reach: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs whose classes are not in one component."""
+    left = reach.select(F.col("vertex").alias(a), F.col("component").alias("ca"))
+    right = reach.select(F.col("vertex").alias(b), F.col("component").alias("cb"))
+    return (
+        pairs.join(left, a, "left").join(right, b, "left")
+        .where(F.coalesce("ca", a) != F.coalesce("cb", b))
+        .select(*pairs.columns)
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -158,59 +215,63 @@ def near_duplicates(
     placed = classes.select(F.explode("buckets").alias("bucket"), "cls")
     leaders = (
         placed.groupBy("bucket")
-        .agg(
-            F.count(F.lit(1)).alias("m"),
-            F.min_by("cls", F.xxhash64("cls", "bucket")).alias("leader"),
-        )
+        .agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("leader"))
         .where("m > 1")
         .select("bucket", "leader")
     )
     members = materialize(placed.join(leaders, "bucket"))
-    stars = (
-        members.where("cls <> leader")
-        .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
-        .distinct()
-    )
     picks = (
         members.select("cls").distinct().join(classes, "cls").select("cls", "pick.tkey", "pick.key")
     )
     sets = materialize(_sets(docs, picks, key, text, words))
-    tested = materialize(_distance(stars, sets))
+    stars = members.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b"))
+    # first one leader for each class, the least; then the other leaders of classes that are
+    # not yet in the component of that leader
+    tested = materialize(
+        _distance(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
+    )
     linked = tested.where(_similar(percent)).select("a", "b")
-    reach = materialize(components(linked))
-    # buckets that still hold several components
-    lean = members.join(
+    reach = components(linked)
+    apart = _apart(stars.distinct(), reach, "a", "b").join(tested, ["a", "b"], "left_anti")
+    again = materialize(_distance(apart, sets))
+    linked = linked.unionByName(again.where(_similar(percent)).select("a", "b"))
+    reach = components(linked)
+    # buckets that still hold several components: pairs across them
+    tested = tested.unionByName(again).select(
+        F.col("a").alias("leader"), F.col("b").alias("cls"),
+        (1 - F.col("common") / F.col("united")).alias("far"),
+    )
+    placed_in = members.join(
         reach.select(F.col("vertex").alias("cls"), "component"), "cls", "left"
     ).select("bucket", "cls", "leader", F.coalesce("component", "cls").alias("component"))
     mixed_buckets = (
-        lean.groupBy("bucket")
+        placed_in.groupBy("bucket")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         .where("lo <> hi")
         .select("bucket")
     )
-    far = tested.select("a", "b", (1 - F.col("common") / F.col("united")).alias("far"))
-    rest = (
-        lean.join(mixed_buckets, "bucket")
+    rest = materialize(
+        placed_in.join(mixed_buckets, "bucket")
         .where("cls <> leader")
-        .withColumn("a", F.least("cls", "leader"))
-        .withColumn("b", F.greatest("cls", "leader"))
-        .join(far, ["a", "b"])
-        .join(classes.select("cls", "n"), "cls")
-        .select("bucket", "cls", "component", "far", "n")
-    )
-    rest = materialize(rest)
-    other = rest.select(
-        "bucket",
-        *[F.col(c).alias(f"o_{c}") for c in ("cls", "component", "far", "n")],
+        .join(tested, ["leader", "cls"], "left")
+        .select("bucket", "cls", "component", "far")
     )
+    rest = rest.join(_sharing(rest, sets), "cls")
+    columns = ("cls", "component", "far", "n", "shared", "bits", "lost")
+    other = rest.select("bucket", *[F.col(c).alias(f"o_{c}") for c in columns])
     limit = 1 - percent / 100 + 1e-9
+    most = F.least("shared", "o_shared")
+    at_most = _common_bits("bits", "o_bits") + F.least("lost", "o_lost")
+    # similarity m / (n + o_n - m) of at least p, solved for m
+    enough = percent * (F.col("n") + F.col("o_n"))
     crossing = (
         rest.join(other, "bucket")
         .where(
             (F.col("cls") < F.col("o_cls"))
             & (F.col("component") != F.col("o_component"))
-            & (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n"))
-            & (F.abs(F.col("far") - F.col("o_far")) <= limit)
+            & ((100 + percent) * most >= enough)
+            & F.coalesce(F.abs(F.col("far") - F.col("o_far")) <= limit, F.lit(True))
+            & ((100 + percent) * at_most >= enough)
         )
         .select(F.col("cls").alias("a"), F.col("o_cls").alias("b"))
         .distinct()
