@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,18 +48,43 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="termloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder
 
 
+# Paths that the open scopes have written, innermost scope last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the intermediate tables that were written inside it.
+
+    Results must be written or collected before the scope ends.
+    """
+    written: list[str] = []
+    _SCOPES.append(written)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(written)
+        for name in written:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage for good: a lost executor only re-reads files, and sampled
-    or position-dependent columns keep the values they had.
+    or position-dependent columns keep the values they had.  Inside a
+    :func:`run_scope` the table is removed when the scope ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/termloom-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

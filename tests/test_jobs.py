@@ -78,3 +78,35 @@ def test_capped_and_generalised_dictionary(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "two")).collect()] == [
         (0, "-organization-", 1)
     ]
+
+
+def test_fuse_keeps_fields_and_takes_the_last_line(spark, tmp_path):
+    import json
+
+    first, second = tmp_path / "text.json", tmp_path / "image.json"
+    records = [
+        {"cluster_id": "a", "score": 0.8, "note": "x", "more": {"n": 1}},
+        {"cluster_id": "b", "score": 0.3, "note": "y", "more": {"n": 2}},
+    ]
+    first.write_text("".join(json.dumps(r) + "\n" for r in records))
+    second.write_text(
+        '{"cluster_id": "a", "score": 0.1}\n{"cluster_id": "a", "score": 0.6}\n'
+    )
+    counters = jobs.fuse(spark, str(first), str(second), str(tmp_path / "fused"))
+    assert counters == {"total": 2, "missed": 1, "agreed": 1}
+    got = {r["cluster_id"]: r for r in spark.read.json(str(tmp_path / "fused")).collect()}
+    assert got["a"]["score"] == 0.7 and got["b"]["score"] == 0.3
+    assert got["a"]["note"] == "x" and got["b"]["more"]["n"] == 2
+
+
+def test_a_run_leaves_no_intermediate_table(spark, tmp_path):
+    import os
+
+    from termloom.session import materialize, run_scope, shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with run_scope(spark):
+        assert materialize(spark.range(5)).count() == 5
+        assert set(os.listdir(folder)) != before
+    assert set(os.listdir(folder)) == before
