@@ -6,6 +6,8 @@ share its shape with the array expressions it checks.
 
 from __future__ import annotations
 
+import re
+
 from termloom.functions import text as tx
 from termloom.operators.split import fraction_bound
 from termloom.plans.queries import TOP_TERMS, TRAIN_FRACTION, TRAIN_ROWS
@@ -168,6 +170,26 @@ _CONVERSATION_PARTS = (
     _CONVERSATIONS, _TOKENS, _WIDE, _PHRASES, _NGRAMS, _TERMS, _DICTIONARY,
     _DOC_VECTORS, _entries("max(value)"),
 )
+_LABELLED_ONLY = _CORPUS.replace("FROM labelled)", "FROM labelled WHERE quality IS NOT NULL)")
+_TURNS = """
+corpus AS (
+  SELECT row_number() OVER () AS doc_id,
+         CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS cluster_id,
+         CAST(NULL AS INTEGER) AS label, {0} AS extracted_text
+  FROM conversations)""".format(_FEATURED.format("text"))
+
+
+def _renamed(parts: tuple[str, ...], keep: str) -> str:
+    """The same tables under other names, but for ``keep``."""
+    text = ",".join(parts)
+    names = set(re.findall(r"^(\w+) AS (?:MATERIALIZED )?\(", text, re.M)) - {keep}
+    return re.sub(rf"\b({'|'.join(sorted(names))})\b(?!\()", r"other_\1", text)
+
+
+_FOREIGN_PARTS = (
+    _renamed((_LABELLED_ONLY, *_DICTIONARY_PARTS[1:]), "dictionary"),
+    _TURNS, *_TERM_PARTS[1:], _DOC_VECTORS, _entries("max(value)"),
+)
 _LONG_VECTORS = """
 SELECT cluster_id, label, n_docs, idx, {0} AS value
 FROM clusters LEFT JOIN entries USING (cluster_id)"""
@@ -229,6 +251,8 @@ WHERE NOT (is_number AND after_number)""",
     "conversation_vectors": _with(*_CONVERSATION_PARTS) + _LONG_VECTORS.format("value"),
     "explain_vector": _with(*_MAX_PARTS)
     + "SELECT cluster_id, idx, term, value FROM entries JOIN dictionary USING (idx)",
+    "foreign_vectors": _with(*_FOREIGN_PARTS) + _LONG_VECTORS.format("value"),
+    "dictionary_reverse": "SELECT source AS term, max(doc_id) AS idx FROM documents GROUP BY source",
     "cluster_sizes": """
 SELECT CAST(conv_id AS VARCHAR) AS cluster_id, count(*) AS n_docs
 FROM conversations GROUP BY conv_id""",

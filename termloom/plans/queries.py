@@ -244,6 +244,25 @@ def explain_vector(spark, sf_dir):
     return vc.explain_vector(entries, words).select("cluster_id", "idx", "term", "value")
 
 
+def foreign_vectors(spark, sf_dir):
+    """Turns of conversations, each a cluster, against the dictionary of the labelled documents."""
+    words = pl.build_dictionary(
+        pl.corpus_bags(corpus(spark, sf_dir).where(F.col("label").isNotNull()))
+    )
+    turns = conversations(spark, sf_dir).withColumn(
+        "cluster_id", F.concat_ws("-", "cluster_id", "turn")
+    )
+    return vc.cluster_vectors(*pl.vectorize(pl.corpus_bags(turns), words))
+
+
+def dictionary_reverse(spark, sf_dir):
+    """Index of every source name in the order of the documents: the last line counts."""
+    lines = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("idx"), F.col("source").alias("term")
+    )
+    return dc.reverse_dictionary(lines)
+
+
 def cluster_sizes(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id")
     documents = turns.select(
@@ -435,6 +454,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         conversation_vectors, explain_vector, cluster_sizes, label_conflicts,
         svmlite_lines, svmlite_parse, max_feature_index, class_distribution,
         train_test_split, train_test_split_exact, score_fusion, fusion_agreement,
+        foreign_vectors, dictionary_reverse,
         dedup_last, submission_scores, alignment_check, confusion_matrix,
         confusion_counts, error_rate, roc_curve, roc_auc, rbf_decision, train_svm,
         platt_calibrate, predict_svm, evaluate_svm,
