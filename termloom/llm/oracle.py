@@ -75,25 +75,35 @@ def _op6(threshold: float = 0.9) -> str:
         for p, label in PHRASES
     )
     templates = ", ".join(
-        "('{}', [{}], {})".format(
+        "('{}', [{}], {}, {})".format(
             label,
             ", ".join(f"'{w}'" for w in sorted(set(t.split()))),
+            len(set(t.split())),
             math.ceil(threshold * len(set(t.split()))),
         )
         for label, t in TEMPLATES
     )
+    hints = " OR ".join(f"array_to_string(w, ' ') LIKE '%{p}%'" for p, _ in PHRASES)
     return rf"""
-WITH words AS (
+WITH words AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all({_lower('text')}, '{_LETTERS}') AS w FROM documents),
-places AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM words),
+places AS MATERIALIZED (
+  SELECT doc_id, w, unnest(range(len(w))) AS i FROM words WHERE {hints}),
 spots AS ({spots}),
-templates(label, t, need) AS (VALUES {templates}),
+templates(label, t, size, need) AS (VALUES {templates}),
+template_words AS (
+  SELECT row_number() OVER () AS template, label, size, need, t FROM templates),
+sought AS (SELECT template, label, size, need, unnest(t) AS word FROM template_words),
 lines AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(line, '{_LETTERS}')) AS b
-  FROM (SELECT doc_id, unnest(string_split({_lower('text')}, chr(10))) AS line FROM documents)),
+  SELECT doc_id, unnest(range(len(x))) AS line, unnest(x) AS body
+  FROM (SELECT doc_id, string_split({_lower('text')}, chr(10)) AS x FROM documents)),
+line_words AS (
+  SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(body, '{_LETTERS}')) AS word
+  FROM lines),
 met AS (
-  SELECT doc_id, label, len(list_intersect(b, t)) / CAST(len(t) AS DOUBLE) AS share
-  FROM lines, templates WHERE len(b) >= need AND len(list_intersect(b, t)) >= need),
+  SELECT doc_id, any_value(label) AS label, count(*) / CAST(any_value(size) AS DOUBLE) AS share
+  FROM line_words JOIN sought USING (word)
+  GROUP BY doc_id, line, template HAVING count(*) >= any_value(need)),
 based AS (
   SELECT doc_id, count(*) AS n_base, CAST(min(i) AS BIGINT) AS first_word,
          CAST(max(i) AS BIGINT) AS last_word,
@@ -131,21 +141,21 @@ def _op9(options: RuleOptions = RuleOptions()) -> str:
     return rf"""
 WITH texts AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
-counted AS (
+counted AS MATERIALIZED (
   SELECT doc_id, lang, regexp_extract_all(t, '{_SPACED}') AS w,
          len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
          len(regexp_extract_all(t, '[A-Z]')) AS n_upper,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_SPACED}')) AS lines
   FROM texts),
-windows AS (
-  SELECT doc_id, i, w[i + 1:i + 5] AS s
+windows AS MATERIALIZED (
+  SELECT doc_id, i, array_to_string(w[i + 1:i + 5], ' ') AS s
   FROM (SELECT doc_id, w, unnest(range(len(w) - 4)) AS i FROM counted WHERE len(w) > 4)),
 twice AS (SELECT doc_id, s FROM windows GROUP BY doc_id, s HAVING count(*) > 1),
 repeats AS (
   SELECT doc_id, count(DISTINCT k) AS n_repeat_words
   FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM windows JOIN twice USING (doc_id, s))
   GROUP BY doc_id),
-measured AS (
+measured AS MATERIALIZED (
   SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words,
          CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(n_symbols AS BIGINT) AS n_symbols, n_upper, len(lines) AS n_lines,
