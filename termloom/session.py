@@ -53,6 +53,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Paths that the open scopes have written, innermost scope last.
 _SCOPES: list[list[str]] = []
 
@@ -85,7 +87,13 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/termloom-{uuid.uuid4().hex}"
     if _SCOPES:
         _SCOPES[-1].append(path)
-    df.write.parquet(path)
+    # nothing reads the shuffles of a finished write again: free their disk at once
+    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
