@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,12 @@ def text_of(column: str = "text") -> Column:
 def to_bytes_lower(text: str | None) -> bytes:
     """UTF-8 of a text with A-Z in lower case and nothing else changed."""
     return b"" if text is None else text.encode("utf-8").lower()
+
+
+def release_memory() -> None:
+    """Gives freed memory of a worker process back to the system, where that is possible."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

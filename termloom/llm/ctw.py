@@ -34,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import named, text_of
+from termloom.llm.common import named, release_memory, text_of
 from termloom.llm.encoding import slices
 from termloom.llm.shingles import LOWER, translated
 from termloom.session import materialize
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
+#: Text that is taken apart into grams at once; a gram takes about 70 bytes on the way.
+SLICE_BYTES = 1 << 18
 #: A byte that UTF-8 never holds: it pads the context before a text and ends the text.
 EDGE = 0xFF
 #: Depth at which the tree is dealt out by subtree.
@@ -244,7 +246,8 @@ class _Lists:
 
     def __init__(self) -> None:
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
-        self.words: list[pa.Table] = []
+        self.words: list[pa.Array] = []
+        self.word_counts: list[np.ndarray] = []
 
     def add(self, texts: pa.Array, train: np.ndarray, depth: int) -> None:
         codes, n = gram_codes(texts, depth)
@@ -256,23 +259,24 @@ class _Lists:
         counts = np.bincount(
             words.indices.to_numpy(), np.repeat(train, m).astype(float), len(words.dictionary)
         )
-        self.words.append(
-            pa.table({"w": words.dictionary, "n": pa.array(counts.astype(np.int64))})
-        )
-        if len(self.grams) > 16:
+        self.words.append(words.dictionary)
+        self.word_counts.append(counts)
+        if len(self.grams) > 24:
             self.merge()
+            release_memory()
 
     def merge(self) -> None:
         codes, where = np.unique(np.concatenate([g for g, _ in self.grams]), return_inverse=True)
         counts = np.bincount(where, np.concatenate([c for _, c in self.grams]), len(codes))
         self.grams = [(codes, counts.astype(np.int64))]
-        table = pa.concat_tables(self.words).group_by("w").aggregate([("n", "sum")])
-        self.words = [table.rename_columns(["w", "n"])]
 
     def batches(self, block: int) -> Iterator[pa.RecordBatch]:
         self.merge()
         codes, counts = self.grams[0]
-        words = self.words[0].combine_chunks()
+        found = pa.concat_arrays(self.words).dictionary_encode()
+        words, total = found.dictionary, np.bincount(
+            found.indices.to_numpy(), np.concatenate(self.word_counts), len(found.dictionary)
+        ).astype(np.int64)
         most = 100_000
         for i in range(0, len(codes), most):
             part = codes[i:i + most]
@@ -284,13 +288,14 @@ class _Lists:
                     "n": pa.array(counts[i:i + most]),
                 }
             )
-        for part in words.to_batches(max_chunksize=most):
+        for i in range(0, len(words), most):
+            part = words.slice(i, most)
             yield pa.record_batch(
                 {
                     "block": pa.array(np.full(len(part), block)),
                     "gram": pa.nulls(len(part), pa.int64()),
-                    "word": part.column("w").cast(pa.string()),
-                    "n": part.column("n"),
+                    "word": part.cast(pa.string()),
+                    "n": pa.array(total[i:i + most]),
                 }
             )
 
@@ -300,7 +305,7 @@ def block_lists(stored: DataFrame, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, lists = None, _Lists()
-        for batch in (s for b in batches for s in slices(b, "t", 2 << 20)):
+        for batch in (s for b in batches for s in slices(b, "t", SLICE_BYTES)):
             blocks = batch.column("block").to_numpy()
             edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
             for a, b in zip(edges, edges[1:]):
@@ -440,7 +445,7 @@ def scores(
         counts = w.column("c").to_numpy()
         out = []
         for batch in own.combine_chunks().to_batches():
-            for part in slices(batch, "t", 2 << 20):
+            for part in slices(batch, "t", SLICE_BYTES):
                 own_codes, n = gram_codes(part.column("t"), depth)
                 at = np.searchsorted(codes, own_codes)
                 if not (codes[np.minimum(at, len(codes) - 1)] == own_codes).all():
@@ -473,6 +478,7 @@ def scores(
                         }
                     )
                 )
+        release_memory()
         if not out:  # a block without rows of its own cannot ask for anything
             raise ValueError("scores without texts")
         return pa.Table.from_batches(out)
