@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import ctw, decontaminate, licenses, neardup, packing, pii, ranking, rules, tokenfile
+from termloom.llm import ctw, decontaminate, licenses, neardup, packing, pii, ranking, rules
+from termloom.llm import substrings, tokenfile
 from termloom.llm.common import ROW, read_table
 from termloom.session import shared_folder
 
@@ -42,6 +43,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that stand in another document too."""
+    return substrings.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     docs = read_table(spark, sf_dir, "documents")
@@ -108,6 +114,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_ctw": op2_ctw,
     "op3_packing": op3_packing,
+    "op4_substrings": op4_substrings,
     "op5_decontaminate": op5_decontaminate,
     "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
