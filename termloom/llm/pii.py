@@ -113,13 +113,19 @@ def _located(kind: str, pieces: Column, hits: Column, options: PiiOptions) -> Co
     def step(acc: Column, both: Column) -> Column:
         before, value = both["before"], both["value"]
         start = acc["at"] + F.length(before)
-        near = F.substring(before, -options.context_chars, options.context_chars)
+        stop = start + F.length(value)
+        first = F.greatest(start - options.context_chars, F.lit(0))
+        near = F.concat_ws(
+            "\n",
+            F.col("t").substr((first + 1).cast("int"), (start - first).cast("int")),
+            F.col("t").substr((stop + 1).cast("int"), F.lit(options.context_chars)),
+        )
+        # an entry of a list has the context of the entry before it
+        helped = near.rlike(rf"(?i)(?<![a-z])(?:{CONTEXT[kind]})(?![a-z])") | (
+            acc["helped"] & before.rlike(rf"^[^\p{{L}}\p{{N}}]{{0,{options.context_chars}}}$")
+        )
         total = F.least(
-            F.lit(1.0),
-            F.lit(score)
-            + F.when(
-                near.rlike(rf"(?i)(?<![a-z])(?:{CONTEXT[kind]})(?![a-z])"), options.context_bonus
-            ).otherwise(0.0),
+            F.lit(1.0), F.lit(score) + F.when(helped, options.context_bonus).otherwise(0.0)
         )
         wanted = confirmed(kind, value)
         if kind in ADDED_PATTERNS:
@@ -134,13 +140,16 @@ def _located(kind: str, pieces: Column, hits: Column, options: PiiOptions) -> Co
             F.when(
                 value.isNotNull() & wanted, F.concat(acc["spans"], F.array(span))
             ).otherwise(acc["spans"]).alias("spans"),
+            F.coalesce(helped, F.lit(False)).alias("helped"),
         )
 
     both = F.zip_with(
         pieces, hits, lambda p, h: F.struct(p.alias("before"), h.alias("value"))
     )
     empty = F.array().cast(SPANS_TYPE)
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
+    start = F.struct(
+        F.lit(0).cast("long").alias("at"), empty.alias("spans"), F.lit(False).alias("helped")
+    )
     return F.when(
         F.size(hits) > 0, F.aggregate(both, start, step, lambda acc: acc["spans"])
     ).otherwise(empty)
@@ -154,6 +163,8 @@ def find_spans(
     ``spans`` holds (kind, start, end, score) in code points, end exclusive, by kind in
     the order of ``KINDS``, then by start.  Matches are leftmost and do not overlap within
     a kind; one that fails its checksum is dropped without another try.
+    Context is read on both sides of a match, over other
+    matches; in a list (nothing but signs between the matches) it reaches every later entry.
     """
     patterns = BASE_PATTERNS | ADDED_PATTERNS
     none = F.array().cast("array<string>")
