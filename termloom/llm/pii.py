@@ -32,9 +32,24 @@ BASE_PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# Kinds beyond the base; they need a checksum or a context word.
+# Characters of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI",
+    20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_KNOWN_IBAN = "(?:" + "|".join(
+    rf"(?:{codes})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()
+) + ")(?![A-Za-z0-9])"
+# Kinds beyond the base; they need a checksum or a context word.  An account number of a known
+# country ends at its length; another one ends before a known one begins.
 ADDED_PATTERNS = {
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": (
+        rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_KNOWN_IBAN}|[A-Z]{{2}}[0-9]{{2}}"
+        rf"(?:(?:\x20(?!{_KNOWN_IBAN}))?[A-Z0-9]){{11,30}}(?![A-Za-z0-9]))"
+    ),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "short_card": r"(?<![0-9-])[0-9](?:[\x20-]?[0-9]){12,14}(?![0-9-])",
 }
@@ -88,6 +103,18 @@ def mod97(value: Column) -> Column:
     )
 
 
+def iban_of(value: Column) -> Column:
+    """The longest part from the start to the end of a word with remainder 1; null: none."""
+    words = F.split(value, " ")
+    parts = F.transform(
+        F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, 1, i), " ")
+    )
+    valid = F.filter(
+        parts, lambda x: (F.length(F.regexp_replace(x, " ", "")) >= 15) & (mod97(x) == 1)
+    )
+    return F.when(mod97(value) == 1, value).otherwise(F.get(valid, F.size(valid) - 1))
+
+
 def confirmed(kind: str, value: Column) -> Column:
     """The checksum or range rule of a kind."""
     n_digits = F.length(_digits(value))
@@ -100,7 +127,7 @@ def confirmed(kind: str, value: Column) -> Column:
     if kind == "phone":
         return n_digits.between(8, 15)
     if kind == "iban":
-        return mod97(value) == 1
+        return value.isNotNull()
     if kind == "ssn":
         return ~value.rlike("^(?:000|666|9..)") & ~value.rlike("-00-|-0000$")
     return F.lit(True)
@@ -127,12 +154,13 @@ def _located(kind: str, pieces: Column, hits: Column, options: PiiOptions) -> Co
         total = F.least(
             F.lit(1.0), F.lit(score) + F.when(helped, options.context_bonus).otherwise(0.0)
         )
-        wanted = confirmed(kind, value)
+        found = iban_of(value) if kind == "iban" else value
+        wanted = confirmed(kind, found)
         if kind in ADDED_PATTERNS:
             wanted = wanted & (total >= options.threshold)
         span = F.struct(
             F.lit(kind).alias("kind"), start.alias("start"),
-            (start + F.length(value)).alias("end"), total.alias("score"),
+            (start + F.length(found)).alias("end"), total.alias("score"),
         )
         # the text after the last match comes without a value
         return F.struct(
@@ -162,8 +190,8 @@ def find_spans(
 
     ``spans`` holds (kind, start, end, score) in code points, end exclusive, by kind in
     the order of ``KINDS``, then by start.  Matches are leftmost and do not overlap within
-    a kind; one that fails its checksum is dropped without another try.
-    Context is read on both sides of a match, over other
+    a kind; one that fails its checksum is dropped without another try, but of an account number
+    the longest valid part counts.  Context is read on both sides of a match, over other
     matches; in a list (nothing but signs between the matches) it reaches every later entry.
     """
     patterns = BASE_PATTERNS | ADDED_PATTERNS

@@ -24,3 +24,15 @@ def test_context(spark):
     ]
     got = found(spark, ["card " + ", ".join(CARDS), "amex\n" + "\n".join(CARDS), ", ".join(CARDS)], "short_card")
     assert got == [CARDS, CARDS, []]
+
+
+def test_end_of_an_account_number(spark):
+    de, gb = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    got = found(spark, [
+        f"IBAN {de} BIC COBADEFFXXX", f"{gb} I paid", f"{de} 12 May", f"{de} {gb} {de} A", f"NR12 {gb}",
+        f"{de[:-1]}1 BIC", f"x {gb}", "ZZ18 1234 5678 9012 345 OK",
+    ], "iban")
+    own = [f"ZZ{n:02} 1234 5678 9012 345" for n in range(2, 99)]
+    valid = [x for x in own if int(f"{x[5:].replace(' ', '')}3535{x[2:4]}") % 97 == 1]
+    assert got[:7] == [[de], [gb], [de], [de, gb, de], [gb], [], [gb]]
+    assert found(spark, [f"{valid[0]} OK"], "iban") == [[valid[0]]]
