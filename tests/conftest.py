@@ -47,5 +47,19 @@ def tagged(spark):
     return build
 
 
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Writes small tables and gives their folder."""
+
+    def write(**named):
+        for name, (rows, schema) in named.items():
+            spark.createDataFrame(rows, schema).repartition(3).write.mode("overwrite").parquet(
+                str(tmp_path / f"{name}.parquet")
+            )
+        return str(tmp_path)
+
+    return write
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
