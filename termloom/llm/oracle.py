@@ -1,7 +1,8 @@
 """SQL for the queries that SQL can express.
 
-Not here: packing and token files (a tokenizer), the language model and the classifier (trained),
-and personal data (the added kinds need look-behind); these are tested against plain versions.
+Not here: packing, token files, alignment and byte pairs (tokenizers), the language model and the
+classifier (trained), and personal data (the added kinds need look-behind); these are tested
+against plain versions.
 """
 
 from __future__ import annotations
@@ -187,9 +188,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged"""
 
 
+_OP11 = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id,
+         CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM vectors a, vectors b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+negatives AS (
+  SELECT anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank
+  FROM positives JOIN scores USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score,
+       negative_score
+FROM negatives WHERE rank <= 5"""
+
 ORACLE: dict[str, str] = {
     "op5_decontaminate": _OP5,
     "op6_licenses": _op6(),
     "op8_neardup": _OP8,
     "op9_rules": _op9(),
+    "op11_hardneg": _OP11,
 }

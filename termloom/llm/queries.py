@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import ctw, decontaminate, licenses, neardup, packing, pii, ranking, rules
-from termloom.llm import substrings, tokenfile
+from termloom.llm import alignment, bytepair, ctw, decontaminate, hardneg, licenses, neardup
+from termloom.llm import packing, pii, ranking, rules, substrings, tokenfile
 from termloom.llm.common import ROW, read_table
 from termloom.session import shared_folder
 
@@ -110,6 +110,27 @@ def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh has the next label."""
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned in every document, with counts over all documents."""
+    return alignment.align(read_table(spark, sf_dir, "documents")).documents
+
+
+def op13_bytepair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the bytes that they decode to."""
+    decoded = bytepair.decode(bytepair.encode(read_table(spark, sf_dir, "documents")))
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_ctw": op2_ctw,
@@ -121,4 +142,7 @@ QUERIES = {
     "op8_neardup": op8_neardup,
     "op9_rules": op9_rules,
     "op10_tokenfile": op10_tokenfile,
+    "op11_hardneg": op11_hardneg,
+    "op12_alignment": op12_alignment,
+    "op13_bytepair": op13_bytepair,
 }

@@ -194,3 +194,63 @@ def ctw_scores(docs, depth):
         )
         for i, t in docs
     }
+
+
+def hard_negatives(rows, every):
+    """rows: (id, components, label)."""
+    known = [
+        (i, label, [math.floor(256 * float(x)) for x in e])
+        for i, e, label in rows
+        if i is not None and label is not None and e is not None
+        and all(x is not None and math.isfinite(x) for x in e)
+    ]
+    out = []
+    for n, (i, label, q) in enumerate(known):
+        if i % every:
+            continue
+        scores = sorted(
+            (-sum(a * b for a, b in zip(q, w)), j, other)
+            for m, (j, other, w) in enumerate(known) if m != n
+        )
+        for p, positive, _ in [x for x in scores if x[2] == label][:5]:
+            found = [x for x in scores if x[2] != label and 80 * -p <= 100 * -x[0] <= 100 * -p]
+            out += [(i, positive, r + 1, x[1], -p, -x[0]) for r, x in enumerate(found[:5])]
+    return sorted(out)
+
+
+def aligned(rows, a_encode, a_bytes, b_encode, b_bytes):
+    """Per key n_a, n_b, n_groups, n_links, n_best, count_sum, digest; and documents by pair."""
+
+    def spans(ids, spelled):
+        at, out = 0, []
+        for i in ids:
+            out.append((at, at + len(spelled(i)), i))
+            at = out[-1][1]
+        return out
+
+    per, pairs, best = {}, Counter(), defaultdict(int)
+    for key, text in rows:
+        per[key] = ([], [], [], [])
+        a, b = (a_encode(" " + text), b_encode(text)) if text else ([], [])
+        whole = (" " + (text or "")).encode()
+        if not text or b"".join(map(a_bytes, a)) != whole or b"".join(map(b_bytes, b)) != whole:
+            continue
+        left, right = spans(a, a_bytes), spans(b, b_bytes)
+        links = [(x[2], y[2]) for x in left for y in right if x[0] < y[1] and y[0] < x[1]]
+        groups, low = [], 0
+        for end in sorted({x[1] for x in left} & {x[1] for x in right}):
+            sides = [[str(x[2]) for x in side if low < x[1] <= end] for side in (left, right)]
+            groups.append("|".join(map(",".join, sides)))
+            low = end
+        per[key] = (a, b, groups, links)
+        pairs.update(set(links))
+    for (x, _), n in pairs.items():
+        best[x] = max(best[x], n)
+    return {
+        key: (
+            len(a), len(b), len(g), len(links), sum(pairs[p] == best[p[0]] for p in links),
+            sum(pairs[p] for p in links),
+            hashlib.sha256(";".join(g).encode()).hexdigest() if a else "",
+        )
+        for key, (a, b, g, links) in per.items()
+    }, pairs
