@@ -18,14 +18,15 @@ an empty table gives an empty table; other columns of the table are not looked a
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from termloom.llm.common import named, text_of
+from termloom.llm.common import named, release_memory, text_of
 from termloom.llm.encoding import slices
 from termloom.llm.shingles import translated
 
@@ -96,15 +97,16 @@ def code_point_classes() -> np.ndarray:
     """Class of every code point, as the Unicode tables of the tiktoken library have it."""
     import tiktoken
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     classes = np.full(0x110000, REST, np.uint8)
     single_bytes = {bytes([b]): b for b in range(256)}
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
         probe = tiktoken.Encoding(
             pattern, pat_str=pattern, mergeable_ranks=single_bytes, special_tokens={}
         )
-        held = bytes(probe.encode_ordinary(every)).decode()
-        classes[np.frombuffer(held.encode("utf-32-le"), "<u4")] = kind
+        for first in range(0, 0x110000, 0x8000):
+            plane = "".join(chr(c) for c in range(first, first + 0x8000) if not 0xD800 <= c < 0xE000)
+            held = bytes(probe.encode_ordinary(plane)).decode()
+            classes[np.frombuffer(held.encode("utf-32-le"), "<u4")] = kind
     classes[0x20] = SPACE
     return classes
 
@@ -174,12 +176,14 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+#: Bytes of text, or of ids, that a task looks at together.
+TOGETHER_BYTES = 1 << 20
+
+
 class RankFile:
     """A vocabulary of ranks.  The slice cache holds at most ``limit`` entries."""
 
-    def __init__(self, path: str, limit: int = 250_000):
-        import tiktoken
-
+    def __init__(self, path: str, limit: int = 200_000):
         with open(path, "rb") as file:
             fields = (line.split() for line in file if line.strip())
             ranks = {base64.b64decode(token): int(rank) for token, rank in fields}
@@ -190,17 +194,27 @@ class RankFile:
         self.width = np.fromiter(map(len, tokens), np.int64, size)
         self.start = np.cumsum(self.width) - self.width
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
-        # merges one slice at a time; its own pattern is not used
-        self.merger = tiktoken.Encoding(
-            "ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}
-        )
         self.cache: dict[bytes, bytes] = {}
         self.limit = limit
+        release_memory()
+
+    @cached_property
+    def merger(self):
+        """Merges one slice at a time; its own pattern is not used."""
+        import tiktoken
+
+        held = np.flatnonzero(self.known).tolist()
+        ranks = {
+            self.flat[self.start[i]:self.start[i] + self.width[i]].tobytes(): i for i in held
+        }
+        return tiktoken.Encoding(
+            "ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}
+        )
 
     def slice_ids(self, piece: bytes) -> bytes:
         ids = self.cache.get(piece)
         if ids is None:
-            ids = np.array(self.merger._encode_single_piece(piece), "<u4").tobytes()
+            ids = array("I", self.merger._encode_single_piece(piece)).tobytes()
             if len(self.cache) < self.limit and len(piece) < 64:
                 self.cache[piece] = ids
         return ids
@@ -239,7 +253,11 @@ def gathered(
     """The runs of ``flat`` that the entries name, one after another."""
     n = width[entry]
     ends = np.cumsum(n)
-    return flat[np.repeat(start[entry] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)]
+    total = int(ends[-1]) if len(n) else 0
+    kind = np.int32 if max(total, len(flat)) < 2**31 else np.int64
+    at = np.repeat((start[entry] - (ends - n)).astype(kind), n)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 @lru_cache(maxsize=2)
@@ -283,7 +301,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = rank_file(path)
-        for batch in (s for b in batches for s in slices(b, "t")):
+        for batch in (s for b in batches for s in slices(b, "t", TOGETHER_BYTES)):
             ids, counts = vocabulary.encode(batch.column("t"))
             upto = np.cumsum(vocabulary.width[ids])
             last = np.cumsum(counts)
@@ -302,7 +320,7 @@ def encode(
 
 
 def decode(
-    encoded: DataFrame, key: str = "doc_id", ranks: str | None = None, most_bytes: int = 4 << 20
+    encoded: DataFrame, key: str = "doc_id", ranks: str | None = None
 ) -> DataFrame:
     """(key, n_tokens, ids, bytes) from ids alone; null ids give no bytes.
 
@@ -315,7 +333,7 @@ def decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = rank_file(path)
-        for batch in (s for b in batches for s in slices(b, "ids", most_bytes)):
+        for batch in (s for b in batches for s in slices(b, "ids", TOGETHER_BYTES)):
             ids, counts = _items(batch.column("ids"), "<u4")
             data, widths = vocabulary.decode(ids)
             upto = np.concatenate([[0], np.cumsum(widths)])
