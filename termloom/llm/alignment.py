@@ -22,6 +22,7 @@ An empty table gives an empty table; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -51,7 +52,7 @@ COUNTER_BITS = 34
 # ----------------------------------------------------------------------------
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def default_pieces() -> str:
@@ -66,6 +67,17 @@ def _flat(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(width) - width, width
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as they need; the first byte says how many."""
+    most = int(x.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w - (w == 8))
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of so many values each."""
     upto = np.concatenate([[0], np.cumsum(values)])
@@ -76,7 +88,7 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Pair:
     """Both tokenizers, the bytes of their ids and the identity array (-1: no such id)."""
 
-    def __init__(self, a_path: str, b_path: str, limit: int = 250_000):
+    def __init__(self, a_path: str, b_path: str, limit: int = 100_000):
         import sentencepiece
 
         self.a = Encoder(a_path, limit)
@@ -102,13 +114,14 @@ class Pair:
         # ids as text with what follows them: inside a group, at the end of its side
         self.a_text = [_flat([b"%d%b" % (i, end) for i in range(len(a_bytes))]) for end in (b",", b"|")]
         self.b_text = [_flat([b"%d%b" % (i, end) for i in range(len(b_bytes))]) for end in (b",", b";")]
-        self.lone_space = np.array([self.b.piece_to_id(SHOWN_SPACE)], "<u4").tobytes()
+        self.lone_space = array("I", [self.b.piece_to_id(SHOWN_SPACE)]).tobytes()
+        release_memory()
 
     def b_ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that begin with a space, which the model adds."""
         fresh = [p for p in dict.fromkeys(pieces) if p not in self.b_cache]
         made = {
-            p: np.array(ids, "<u4").tobytes() if len(p) > 1 else self.lone_space
+            p: array("I", ids).tobytes() if len(p) > 1 else self.lone_space
             for p, ids in zip(fresh, self.b.encode([p[1:] for p in fresh], num_threads=1))
         }
         out = [made[p] if p in made else self.b_cache[p] for p in pieces]
@@ -224,8 +237,8 @@ def _cut(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 _BLOCK = (
     "block long, keys array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, "
     "n_links array<long>, digest array<string>, groups array<string>, uses array<long>, "
-    "piece binary, times binary, piece_links binary, links binary, codes array<long>, "
-    "code_docs array<long>, vector binary"
+    "piece binary, times binary, piece_links binary, links binary, known binary, "
+    "codes array<long>, code_docs array<long>, vector binary"
 )
 
 
@@ -243,9 +256,13 @@ def _block(
     if unfit.any():
         kept = ~unfit[doc]
         entry, doc, n_pieces = entry[kept], doc[kept], np.where(unfit, 0, n_pieces)
-    text = gathered(found.text, np.cumsum(found.text_size) - found.text_size, found.text_size, entry)
-    shown, last = memoryview(text.tobytes()), np.cumsum(_sums(found.text_size[entry], n_pieces))
-    spans = list(zip([0, *last[:-1].tolist()], last.tolist()))
+    whole, last = found.text.tobytes(), np.cumsum(found.text_size).tolist()
+    shown = [whole[i:j] for i, j in zip([0, *last], last)]
+    ends = np.cumsum(n_pieces).tolist()
+    # the groups of each text without the last semicolon
+    texts = [
+        b"".join(map(shown.__getitem__, entry[i:j].tolist()))[:-1] for i, j in zip([0, *ends], ends)
+    ]
     # documents by piece, then by pair: each counts once
     used, times = np.unique(doc * max(n_known, 1) + entry, return_counts=True)
     used_doc, used_piece = used // max(n_known, 1), used % max(n_known, 1)
@@ -260,17 +277,17 @@ def _block(
     irregular = ~regular & (docs > 0)
     # pieces of unfit texts alone have no links to count
     n_links = np.where(np.bincount(used_piece, minlength=n_known) > 0, found.n_links, 0)
-    links = found.links[np.repeat(n_links > 0, found.n_links)]
+    links = number[np.repeat(n_links > 0, found.n_links)]
     total = lambda x: _sums(x[entry], n_pieces)
     return {
         "block": block, "keys": batch.column("key").to_pylist(),
         "n_a": total(found.n_a), "n_b": total(found.n_b),
         "n_groups": total(found.n_groups), "n_links": total(found.n_links),
-        "digest": [hashlib.sha256(shown[i:j - 1]).hexdigest() if j > i else "" for i, j in spans],
-        "groups": [bytes(shown[i:j - 1]).decode() if j > i else "" for i, j in spans] if groups else None,
+        "digest": [hashlib.sha256(t).hexdigest() if t else "" for t in texts],
+        "groups": [t.decode() for t in texts] if groups else None,
         "uses": np.bincount(used_doc, minlength=n_docs),
-        "piece": used_piece.astype("<i4").tobytes(), "times": times.astype("<i4").tobytes(),
-        "piece_links": n_links.astype("<i4").tobytes(), "links": links.astype("<i8").tobytes(),
+        "piece": _packed(used_piece), "times": _packed(times), "piece_links": _packed(n_links),
+        "links": _packed(links), "known": codes.astype("<i8").tobytes(),
         "codes": codes[irregular], "code_docs": docs[irregular],
     }
 
@@ -292,12 +309,14 @@ def _blocks(docs: DataFrame, key: str, text: str, paths: tuple[str, str], groups
                 [("block", pa.int64()), ("keys", pa.list_(batch.schema.field("key").type)),
                  *[(c, longs) for c in ("n_a", "n_b", "n_groups", "n_links")],
                  ("digest", names), ("groups", names), ("uses", longs),
-                 *[(c, raw) for c in ("piece", "times", "piece_links", "links")],
+                 *[(c, raw) for c in ("piece", "times", "piece_links", "links", "known")],
                  ("codes", longs), ("code_docs", longs), ("vector", raw)]
             )
             row = _block(batch, pair, vector, block, groups)
             yield pa.RecordBatch.from_pylist([row], schema=shape)
             block += 1
+            del row
+            release_memory()
         if shape is not None:
             yield pa.RecordBatch.from_pylist([{"vector": vector.tobytes()}], schema=shape)
         release_memory()
@@ -368,36 +387,36 @@ def align(
         .join(irregular, "code")
         .groupBy("block")
         .agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("counts"))
-        .select("block", F.col("counts.code").alias("known"), F.col("counts.n").alias("known_n"))
+        .select("block", F.col("counts.code").alias("counted"), F.col("counts.n").alias("counts"))
     )
-    shipped = docs.sparkSession.sparkContext.broadcast((identity, regular, best))
+    shipped = docs.sparkSession.sparkContext.broadcast((regular, best))
     carried = ["keys", "n_a", "n_b", "n_groups", "n_links", "digest"] + ["groups"] * groups
     counted = lists.select(
-        "block", *carried, "uses", "piece", "times", "piece_links", "links"
+        "block", *carried, "uses", "piece", "times", "piece_links", "links", "known"
     ).join(back, "block", "left")
     kind = blocks.schema["keys"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        identity, regular, best = shipped.value
+        regular, best = shipped.value
         for batch in batches:
             for i in range(len(batch)):
                 cell = lambda c: batch.column(c)[i]  # noqa: B023, E731
-                packed = lambda c, t: np.frombuffer(cell(c).as_py(), t).astype(np.int64)  # noqa: B023, E731
-                links, n_links = packed("links", "<i8"), packed("piece_links", "<i4")
-                a, b = links >> B_BITS, links & (1 << B_BITS) - 1
+                packed = lambda c: _unpacked(cell(c).as_py())  # noqa: B023, E731
+                # the count of every distinct pair of the block, then of its pieces' links
+                known = np.frombuffer(cell("known").as_py(), "<i8")
+                a = known >> B_BITS
                 count = regular[a]
-                other = identity[a] != b
-                if other.any():
-                    known = cell("known").values.to_numpy()
-                    count[other] = cell("known_n").values.to_numpy()[
-                        np.searchsorted(known, links[other])
-                    ]
-                piece, times = packed("piece", "<i4"), packed("times", "<i4")
+                counted = cell("counted").values
+                if counted is not None:
+                    count[np.searchsorted(known, counted.to_numpy())] = cell("counts").values.to_numpy()
+                links, n_links = packed("links"), packed("piece_links")
+                piece, times = packed("piece"), packed("times")
+                first = (count == best[a]).astype(np.int64)
                 uses = cell("uses").values.to_numpy()
                 total = lambda x: _sums(_sums(x, n_links)[piece] * times, uses)  # noqa: B023, E731
                 out = {c: cell(c).values for c in carried}
-                out["n_best"] = pa.array(total((count == best[a]).astype(np.int64)))
-                out["count_sum"] = pa.array(total(count))
+                out["n_best"] = pa.array(total(first[links]))
+                out["count_sum"] = pa.array(total(count[links]))
                 yield pa.record_batch(out)
 
     documents = counted.mapInArrow(
