@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # A table is broadcast only when its measured size stays under this bound.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
@@ -58,12 +60,16 @@ _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Paths that the open scopes have written, innermost scope last.
 _SCOPES: list[list[str]] = []
 
+# Where materialize() put the tables that it returned.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 @contextmanager
 def run_scope(spark: SparkSession) -> Iterator[None]:
     """Removes, at its end, the intermediate tables that were written inside it.
 
-    Results must be written or collected before the scope ends.
+    Results must be written or collected before the scope ends, or be materialized with
+    ``keep``.
     """
     written: list[str] = []
     _SCOPES.append(written)
@@ -72,21 +78,48 @@ def run_scope(spark: SparkSession) -> Iterator[None]:
     finally:
         _SCOPES.remove(written)
         for name in written:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, name)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that :func:`materialize` returned, once nothing will read them again.
+
+    Other tables are left alone.
+    """
+    for table in tables:
+        path = _PATHS.pop(table, None)
+        if path:
+            _delete(table.sparkSession, path)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; inside a :func:`run_scope` it is removed with its tables."""
+    path = f"{shared_folder(spark).rstrip('/')}/termloom-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def materialize(
+    df: DataFrame, keep: bool = False, schema: StructType | None = None
+) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage for good: a lost executor only re-reads files, and sampled
     or position-dependent columns keep the values they had.  Inside a
-    :func:`run_scope` the table is removed when the scope ends.
+    :func:`run_scope` the table is removed when the scope ends; with ``keep`` when the scope
+    around that one ends.  ``schema`` reads the columns as other types that are stored alike.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/termloom-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    owners = _SCOPES[:-1] if keep else _SCOPES
+    if owners:
+        owners[-1].append(path)
     # nothing reads the shuffles of a finished write again: free their disk at once
     before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
     spark.conf.set(_SHUFFLE_CLEANUP, "true")
@@ -94,7 +127,9 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(schema or df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
