@@ -7,7 +7,7 @@ the generator.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.operators.ordering import with_dense_index
@@ -18,6 +18,12 @@ from termloom.session import BROADCAST_LIMIT_BYTES
 HEAD_ROWS = 10_000
 HEAD_BYTES = 10_000_000
 
+# Terms that share a 64-bit word of the membership filter, the bits that each sets in it, and
+# the cost of a word in a broadcast.
+TERMS_PER_WORD = 6
+BITS_PER_TERM = 4
+WORD_BYTES = 48
+
 
 def term_counts(documents: DataFrame) -> DataFrame:
     """Occurrences per term, from ``terms`` or ``bag`` documents."""
@@ -124,19 +130,73 @@ def head_rows(dictionary: DataFrame) -> int:
     return next((k for k in steps if (sizes[str(k)] or 0) <= HEAD_BYTES), 0)
 
 
+def _word(term: Column, words: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(words).cast("bigint"))
+
+
+def _mask(term: Column) -> Column:
+    """The bits that a term sets in its word, from a second hash."""
+    other = F.xxhash64(term, F.lit("bits"))
+    bits = [
+        F.call_function(
+            "shiftleft", F.lit(1).cast("bigint"),
+            F.shiftrightunsigned(other, 6 * i).bitwiseAND(F.lit(63)).cast("int"),
+        )
+        for i in range(BITS_PER_TERM)
+    ]
+    mask = bits[0]
+    for bit in bits[1:]:
+        mask = mask.bitwiseOR(bit)
+    return mask
+
+
+def membership(
+    dictionary: DataFrame, limit: int = BROADCAST_LIMIT_BYTES
+) -> tuple[DataFrame, int] | None:
+    """A Bloom filter of the terms as rows ``(word, bits)``, and its number of words.
+
+    Every term sets a few bits of one 64-bit word (Putze, Sanders and Singler 2007), so a probe
+    is one lookup.  Made by an aggregate; None where it would be larger than ``limit``.
+    """
+    n = dictionary.count()
+    words = max(1, -(-n // TERMS_PER_WORD))
+    if words * WORD_BYTES > limit:
+        return None
+    filled = dictionary.groupBy(_word(F.col("term"), words).alias("word")).agg(
+        F.bit_or(_mask(F.col("term"))).alias("bits")
+    )
+    return filled, words
+
+
+def perhaps_known(entries: DataFrame, filter_: tuple[DataFrame, int] | None) -> DataFrame:
+    """Entries without most of those whose term is not in the dictionary; no known one is lost."""
+    if filter_ is None:
+        return entries
+    table, words = filter_
+    mask = _mask(F.col("term"))
+    return (
+        entries.withColumn("_word", _word(F.col("term"), words))
+        .join(F.broadcast(table.withColumnsRenamed({"word": "_word", "bits": "_bits"})), "_word")
+        .where(F.col("_bits").bitwiseAND(mask) == mask)
+        .drop("_word", "_bits")
+    )
+
+
 def lookup(
     entries: DataFrame,
     dictionary: DataFrame,
     key: str = "term",
     small: bool | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Inner join of entries to a dictionary on ``term`` or ``idx``.
 
     A dictionary of a checked size is broadcast; a larger one is joined in two parts,
     see :func:`split_head`.  Of a term that the dictionary lists twice the last index
-    counts on either way.
+    counts on either way; ``unique`` says that there is none, as in a dictionary that
+    :func:`build_dictionary` made.
     """
-    if key == "term":
+    if key == "term" and not unique:
         dictionary = reverse_dictionary(dictionary)
     if fits_broadcast(dictionary) if small is None else small:
         return entries.join(F.broadcast(dictionary.select("idx", "term")), key)

@@ -9,9 +9,12 @@ from termloom.operators.dictionary import (
     exploded_bags,
     fits_broadcast,
     lookup,
+    membership,
+    perhaps_known,
     reverse_dictionary,
     split_head,
 )
+from termloom.session import materialize
 
 _MERGES = {
     "max": lambda: F.max("n").cast("double"),
@@ -19,9 +22,14 @@ _MERGES = {
 }
 
 
-def doc_term_vectors(bags: DataFrame, dictionary: DataFrame, row_id: str) -> DataFrame:
-    """``(row_id, idx, value)``: how often a document holds each dictionary term."""
-    entries = lookup(exploded_bags(bags, row_id), dictionary)
+def doc_term_vectors(
+    bags: DataFrame, dictionary: DataFrame, row_id: str, unique: bool = False
+) -> DataFrame:
+    """``(row_id, idx, value)``: how often a document holds each dictionary term.
+
+    ``unique`` says that the dictionary lists no term twice.
+    """
+    entries = lookup(exploded_bags(bags, row_id), dictionary, unique=unique)
     return entries.select(row_id, "idx", F.col("n").cast("double").alias("value"))
 
 
@@ -50,6 +58,7 @@ def cluster_entries(
     dictionary: DataFrame,
     merge: str = "max",
     small_dictionary: bool | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """``(cluster_id, idx, value)`` merged over the documents of each cluster.
 
@@ -58,21 +67,23 @@ def cluster_entries(
     over all tasks, and each task combines its rows before the shuffle.
 
     A small dictionary is joined first, which drops unknown terms and shuffles
-    integers.  With a large one this is done for its frequent head only; the other
-    entries are merged by (cluster, term), combined before that shuffle, and then
-    meet the rest of the dictionary by term.  Of a term listed twice the last index
-    counts.
+    integers.  With a large one this is done for its frequent head only; of the other
+    entries a membership filter drops nearly all unknown terms before anything is
+    shuffled, what is left is merged by (cluster, term), combined before that shuffle, and
+    then meets the rest of the dictionary by term.  Of a term listed twice the last index
+    counts; ``unique`` says that there is none.
     """
     small = fits_broadcast(dictionary) if small_dictionary is None else small_dictionary
     entries = exploded_bags(bags, "cluster_id")
     combine = _MERGES["sum" if merge == "avg" else merge]().alias("value")
     if small:
-        known = lookup(entries, dictionary, small=True)
+        known = lookup(entries, dictionary, small=True, unique=unique)
         merged = known.groupBy("cluster_id", "idx").agg(combine)
     else:
-        hot, cold, tail = split_head(entries, reverse_dictionary(dictionary))
+        table = dictionary if unique else reverse_dictionary(dictionary)
+        hot, cold, tail = split_head(entries, table)
         frequent = hot.groupBy("cluster_id", "idx").agg(combine)
-        rare = cold.groupBy("cluster_id", "term").agg(combine)
+        rare = perhaps_known(cold, membership(tail)).groupBy("cluster_id", "term").agg(combine)
         merged = frequent.unionByName(
             rare.join(tail, "term").select("cluster_id", "idx", "value")
         )
@@ -88,8 +99,10 @@ def cluster_vectors(cluster_table: DataFrame, entries: DataFrame) -> DataFrame:
     """Long form with every cluster; one without a known term has a null ``idx``.
 
     The entries meet the cluster table in an inner join, which broadcasts a small table or
-    splits a hot cluster; clusters without entries are added apart.
+    splits a hot cluster; clusters without entries are added apart.  The entries are needed for
+    both, so they are merged once and written.
     """
+    entries = materialize(entries)
     columns = ["cluster_id", *[c for c in cluster_table.columns if c != "cluster_id"]]
     columns += [c for c in entries.columns if c != "cluster_id"]
     found = entries.join(cluster_table, "cluster_id").select(*columns)

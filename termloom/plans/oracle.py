@@ -9,8 +9,12 @@ from __future__ import annotations
 import re
 
 from termloom.functions import text as tx
+from termloom.operators.calibrate import PASSES, RIDGE
+from termloom.operators.linear import SMOOTH
 from termloom.operators.split import fraction_bound
-from termloom.plans.queries import TOP_TERMS, TRAIN_FRACTION, TRAIN_ROWS
+from termloom.plans.queries import (
+    LANDMARKS, LINE_INDICES, LINEAR_PASSES, MALFORMED, TOP_TERMS, TRAIN_FRACTION, TRAIN_ROWS,
+)
 
 _STOPWORDS = ", ".join(f"'{word}'" for word in tx.STOPWORDS)
 
@@ -108,11 +112,17 @@ entries AS MATERIALIZED (
   GROUP BY cluster_id, idx)"""
 
 
-_VECTOR_LINES = """
+_VECTOR_LINES = f"""
 lines AS (
-  SELECT cluster_id, CAST(label AS VARCHAR) AS label,
+  SELECT cluster_id, CAST(label AS VARCHAR) AS label, coalesce(idx // {LINE_INDICES}, 0) AS segment,
          string_agg(idx || ':' || CAST(value AS VARCHAR), ' ' ORDER BY idx) AS fields
-  FROM clusters LEFT JOIN entries USING (cluster_id) GROUP BY cluster_id, label)"""
+  FROM clusters LEFT JOIN entries USING (cluster_id) GROUP BY ALL)"""
+
+_EXPLAINED = """
+doc_terms AS (SELECT doc_id, term, count(*) AS n FROM terms GROUP BY doc_id, term),
+merged AS MATERIALIZED (
+  SELECT cluster_id, term, max(n) AS n FROM doc_terms JOIN corpus USING (doc_id)
+  GROUP BY cluster_id, term)"""
 
 _SCORES = """
 truth AS (
@@ -205,6 +215,127 @@ FROM (SELECT cluster_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b
       FULL JOIN (SELECT cluster_id, count(*) AS b FROM {1} GROUP BY cluster_id)
       USING (cluster_id))"""
 
+
+def _platt_sql() -> str:
+    """The passes of the fit one after another; each accepts its step or halves it."""
+    parts = [
+        """
+targets AS MATERIALIZED (
+  SELECT score * 2 - 1 AS m,
+         CASE WHEN class = 1 THEN (p + 1) / (p + 2) ELSE 1 / (n + 2) END AS t
+  FROM labelled_scores,
+       (SELECT CAST(count(*) FILTER (class = 1) AS DOUBLE) AS p,
+               CAST(count(*) FILTER (class <> 1) AS DOUBLE) AS n FROM labelled_scores)),
+state0 AS MATERIALIZED (
+  SELECT 0.0::DOUBLE AS a, ln((p + 1) / (n + 1)) AS b, CAST('infinity' AS DOUBLE) AS best,
+         0.0::DOUBLE AS da, 0.0::DOUBLE AS db
+  FROM (SELECT CAST(count(*) FILTER (class = 1) AS DOUBLE) AS p,
+               CAST(count(*) FILTER (class <> 1) AS DOUBLE) AS n FROM labelled_scores))"""
+    ]
+    for k in range(PASSES):
+        parts.append(f"""
+sums{k} AS MATERIALIZED (
+  SELECT sum(greatest(z, 0) + ln(1 + exp(-abs(z))) - t * z) AS loss,
+         sum((p - t) * m) AS g1, sum(p - t) AS g0, sum(p * (1 - p) * m * m) + {RIDGE} AS h11,
+         sum(p * (1 - p) * m) AS h10, sum(p * (1 - p)) + {RIDGE} AS h00
+  FROM (SELECT *, CASE WHEN z >= 0 THEN 1 / (1 + exp(-abs(z)))
+                       ELSE exp(-abs(z)) / (1 + exp(-abs(z))) END AS p
+        FROM (SELECT m, t, m * (a + da) + b + db AS z FROM targets, state{k}))),
+state{k + 1} AS MATERIALIZED (
+  SELECT CASE WHEN loss < best THEN a + da ELSE a END AS a,
+         CASE WHEN loss < best THEN b + db ELSE b END AS b, least(loss, best) AS best,
+         CASE WHEN loss < best THEN -(h00 * g1 - h10 * g0) / (h11 * h00 - h10 * h10)
+              ELSE da / 2 END AS da,
+         CASE WHEN loss < best THEN -(h11 * g0 - h10 * g1) / (h11 * h00 - h10 * h10)
+              ELSE db / 2 END AS db
+  FROM state{k}, sums{k})""")
+    return _with(_SCORES, *parts) + f"""
+SELECT cluster_id, round(1 / (1 + exp(-(a * (score * 2 - 1) + b))), 6) AS p1
+FROM text_scores, state{PASSES}"""
+
+
+def _linear_sql() -> str:
+    """The passes of the fit one after another, and the weights with the least loss."""
+    parts = ["""
+rows AS (
+  SELECT vec_id, 2 * CAST(label < 5 AS INTEGER) - 1 AS y, CAST(embedding AS DOUBLE[]) AS x
+  FROM embeddings),
+plain AS (
+  SELECT vec_id, y, CAST(unnest(range(len(x))) AS BIGINT) AS idx, unnest(x) AS value FROM rows),
+e AS MATERIALIZED (SELECT * FROM plain UNION ALL SELECT vec_id, y, -1, 1.0 FROM rows),
+size AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM rows),
+scale AS MATERIALIZED (
+  SELECT idx, sum(value * value) / (""" + str(SMOOTH) + """ * max(n))
+              + CASE WHEN idx = -1 THEN 0 ELSE 1 / max(n) END AS h
+  FROM e, size GROUP BY idx),
+w0 AS MATERIALIZED (SELECT idx, 0.0::DOUBLE AS w FROM scale)"""]
+    for k in range(LINEAR_PASSES):
+        step = (
+            "SELECT 1.0::DOUBLE / (max(c) + 1) AS a, 1.0::DOUBLE / 3 AS growth "
+            "FROM (SELECT count(*) AS c FROM e GROUP BY vec_id)"
+            if k == 0
+            else f"""
+  SELECT next AS a, next / a AS growth
+  FROM (SELECT a, CASE WHEN moved <= 0 OR 2 * a * a * turned / moved - 1 <= 0 THEN longest
+                       ELSE least(longest, a / sqrt(2 * a * a * turned / moved - 1)) END AS next
+        FROM (SELECT a, sqrt(2.0::DOUBLE / 3 + growth) * a AS longest, moved, turned
+              FROM step{k - 1},
+                   (SELECT sum(h * (n.w - o.w) ** 2) AS moved, sum((m.g - p.g) ** 2 / h) AS turned
+                    FROM scale JOIN w{k} n USING (idx) JOIN w{k - 1} o USING (idx)
+                         JOIN g{k} m USING (idx) JOIN g{k - 1} p USING (idx))))"""
+        )
+        parts.append(f"""
+z{k} AS MATERIALIZED (
+  SELECT vec_id, y, y * sum(value * w) AS z FROM e JOIN w{k} USING (idx) GROUP BY vec_id, y),
+g{k} AS MATERIALIZED (
+  SELECT idx, sum(value * y * CASE WHEN z >= 1 THEN 0 WHEN z > 1 - {SMOOTH} THEN (z - 1) / {SMOOTH}
+                                   ELSE -1 END / n)
+              + CASE WHEN idx = -1 THEN 0 ELSE any_value(w) / any_value(n) END AS g
+  FROM e JOIN z{k} USING (vec_id, y) JOIN w{k} USING (idx), size GROUP BY idx),
+loss{k} AS (
+  SELECT {k} AS pass,
+         (SELECT avg(CASE WHEN z >= 1 THEN 0
+                          WHEN z > 1 - {SMOOTH} THEN (1 - z) * (1 - z) / (2 * {SMOOTH})
+                          ELSE 1 - z - {SMOOTH} / 2 END) FROM z{k})
+         + (SELECT sum(w * w) FROM w{k} WHERE idx >= 0) / (2 * n) AS loss FROM size),
+step{k} AS MATERIALIZED ({step}),
+w{k + 1} AS MATERIALIZED (
+  SELECT idx, w - a * g / h AS w
+  FROM scale JOIN w{k} USING (idx) JOIN g{k} USING (idx), step{k})""")
+    losses = " UNION ALL ".join(f"SELECT * FROM loss{k}" for k in range(LINEAR_PASSES))
+    tried = " UNION ALL ".join(f"SELECT {k} AS pass, * FROM w{k}" for k in range(LINEAR_PASSES))
+    return _with(*parts) + f"""
+SELECT idx, round(w, 6) AS weight FROM ({tried})
+WHERE pass = (SELECT pass FROM ({losses}) ORDER BY loss, pass LIMIT 1)"""
+
+
+def _landmark_sql() -> str:
+    """Farthest-first: one choice after another."""
+    parts = ["""
+points AS MATERIALIZED (
+  SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS x,
+         row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || '#0'), CAST(vec_id AS VARCHAR))
+           AS place
+  FROM embeddings),
+near0 AS MATERIALIZED (
+  SELECT place, CAST('infinity' AS DOUBLE) AS near FROM points)"""]
+    for k in range(LANDMARKS):
+        parts.append(f"""
+pick{k} AS MATERIALIZED (
+  SELECT place, near, id, x FROM near{k} JOIN points USING (place)
+  ORDER BY near DESC, place LIMIT 1),
+near{k + 1} AS MATERIALIZED (
+  SELECT n.place, CASE WHEN n.place = c.place THEN 0
+                       ELSE least(n.near, list_distance(p.x, c.x) ** 2) END AS near
+  FROM near{k} n JOIN points p USING (place), pick{k} c)""")
+    return _with(*parts) + " UNION ALL ".join(
+        f"""SELECT CAST({k} AS INTEGER) AS rank, id AS cluster_id,
+                   CASE WHEN isinf(near) THEN NULL ELSE round(near, 6) END AS distance2
+            FROM pick{k} WHERE near > 0"""
+        for k in range(LANDMARKS)
+    )
+
+
 ORACLE: dict[str, str] = {
     "load_documents": _with(_CORPUS)
     + "SELECT doc_id, cluster_id, label, extracted_text FROM corpus",
@@ -237,6 +368,10 @@ WHERE NOT (is_number AND after_number)""",
     "phrase_ngrams_contiguous": _with(*_PHRASE_PARTS, _CONTIGUOUS)
     + "SELECT term, count(*) AS n FROM ngrams GROUP BY term",
     "dictionary": _with(*_DICTIONARY_PARTS) + "SELECT idx, term, n FROM dictionary",
+    "dictionary_by_documents": _with(*_TERM_PARTS)
+    + """SELECT row_number() OVER (ORDER BY n DESC, term) - 1 AS idx, term, n
+         FROM (SELECT term, count(DISTINCT doc_id) AS n FROM terms GROUP BY term)""",
+    "dictionary_roundtrip": _with(*_DICTIONARY_PARTS) + "SELECT idx, term FROM dictionary",
     "dictionary_topk": _with(*_DICTIONARY_PARTS)
     + f"SELECT idx, term, n FROM dictionary WHERE idx < {TOP_TERMS}",
     "term_count_lines": _with(*_DICTIONARY_PARTS)
@@ -249,8 +384,9 @@ WHERE NOT (is_number AND after_number)""",
     "cluster_vectors_avg": _with(*_VECTOR_PARTS, _entries("sum(value) / max(n_docs)"))
     + _LONG_VECTORS.format("round(value, 9)"),
     "conversation_vectors": _with(*_CONVERSATION_PARTS) + _LONG_VECTORS.format("value"),
-    "explain_vector": _with(*_MAX_PARTS)
-    + "SELECT cluster_id, idx, term, value FROM entries JOIN dictionary USING (idx)",
+    "explain_vector": _with(*_DICTIONARY_PARTS, _EXPLAINED)
+    + """SELECT cluster_id, idx, term, CAST(merged.n AS DOUBLE) AS value
+         FROM merged JOIN dictionary USING (term)""",
     "foreign_vectors": _with(*_FOREIGN_PARTS) + _LONG_VECTORS.format("value"),
     "dictionary_reverse": "SELECT source AS term, max(doc_id) AS idx FROM documents GROUP BY source",
     "cluster_sizes": """
@@ -262,12 +398,49 @@ SELECT source AS cluster_id, min(quality) AS min_label, max(quality) AS max_labe
 FROM documents JOIN labels USING (doc_id) GROUP BY source
 HAVING min(quality) <> max(quality)""",
     "svmlite_lines": _with(*_MAX_PARTS, _VECTOR_LINES)
-    + """SELECT cluster_id,
+    + """SELECT cluster_id, segment,
                 concat_ws(' ', coalesce(label, cluster_id), fields) AS line FROM lines""",
     "svmlite_parse": _with(*_MAX_PARTS)
     + """SELECT cluster_id, coalesce(CAST(label AS VARCHAR), cluster_id) AS first,
                 CAST(idx AS INTEGER) AS idx, value
          FROM clusters LEFT JOIN entries USING (cluster_id)""",
+    "vectors_roundtrip": _with(*_MAX_PARTS)
+    + """SELECT cluster_id, coalesce(CAST(label AS VARCHAR), cluster_id) AS first,
+                CAST(idx AS INTEGER) AS idx, value
+         FROM clusters LEFT JOIN entries USING (cluster_id)""",
+    "documents_roundtrip": _with(_CORPUS)
+    + """SELECT CAST(doc_id AS VARCHAR) AS doc_id, cluster_id, label, extracted_text
+         FROM corpus""",
+    "classes_roundtrip": _with(_CORPUS)
+    + "SELECT doc_id, cluster_id, label, extracted_text FROM corpus WHERE label IN (0, 1)",
+    "malformed_documents": _with(_CORPUS)
+    + f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, cluster_id, label, extracted_text,
+                (SELECT count(*) FROM corpus WHERE doc_id % {MALFORMED} = 0) AS n_malformed
+         FROM corpus WHERE doc_id % {MALFORMED} <> 0""",
+    "job_counters": _with(*_TERM_PARTS)
+    + """SELECT count(DISTINCT term) AS n_terms,
+                (SELECT count(DISTINCT cluster_id) FROM corpus) AS n_vectors,
+                (SELECT count(DISTINCT cluster_id) FROM corpus) AS n_lines FROM terms""",
+    "predictions_roundtrip": _with(_SCORES)
+    + """SELECT cluster_id, score, class
+         FROM text_scores LEFT JOIN truth USING (cluster_id)""",
+    "fused_records": _with(_SCORES)
+    + """SELECT t.cluster_id,
+                round(CASE WHEN i.score IS NULL THEN t.score
+                           ELSE 0.5::DOUBLE * (t.score + i.score) END, 9) AS score,
+                '1234567890123456789' || (doc_id % 10) AS big,
+                CASE WHEN doc_id % 2 = 1 THEN 'seven' ELSE '7' END AS mixed,
+                doc_id % 2 = 1 AS is_text, n_chars AS n, source, doc_id % 2 = 1 AS has_none
+         FROM text_scores t LEFT JOIN image_scores i USING (cluster_id)
+              JOIN documents d ON t.cluster_id = CAST(d.doc_id AS VARCHAR)""",
+    "platt_fit": _platt_sql(),
+    "linear_weights": _linear_sql(),
+    "landmarks": _landmark_sql(),
+    "model_contracts": """
+SELECT CAST(vec_id AS VARCHAR) AS cluster_id, CAST(label < 5 AS INTEGER) AS label, kernel,
+       true AS same_after_load, true AS sign_decides, true AS half_decides, true AS sums_to_one,
+       true AS is_probability
+FROM embeddings, (SELECT unnest(['linear', 'rbf', 'landmarks']) AS kernel)""",
     "max_feature_index": _with(*_MAX_PARTS)
     + """SELECT coalesce(max(idx), 0) AS max_index,
                 round(CASE WHEN max(idx) > 0 THEN 1.0::DOUBLE / max(idx) ELSE 0 END, 12)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from termloom.functions import text as tx
@@ -54,10 +53,14 @@ def build_dictionary(
 
 
 def vectorize(
-    bags: DataFrame, dictionary: DataFrame, merge: str = "max"
+    bags: DataFrame, dictionary: DataFrame, merge: str = "max", unique: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """Cluster table and vector entries of a corpus against a given dictionary."""
-    return vc.clusters(bags), vc.cluster_entries(bags, dictionary, merge)
+    """Cluster table and vector entries of a corpus against a given dictionary.
+
+    A dictionary that this library numbered lists no term twice; for one from elsewhere say
+    ``unique=False``, and the last index of a term counts.
+    """
+    return vc.clusters(bags), vc.cluster_entries(bags, dictionary, merge, unique=unique)
 
 
 def model_vectors(
@@ -82,7 +85,7 @@ class Evaluation:
     auc: DataFrame
 
 
-def evaluate(model: PipelineModel, vectors: DataFrame) -> Evaluation:
+def evaluate(model: svm.SvmModel, vectors: DataFrame) -> Evaluation:
     """Score labelled vectors once and derive all reports from that table."""
     scored = materialize(svm.score(vectors, model))
     truth, scores = svm.evaluation_records(scored)

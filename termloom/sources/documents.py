@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import featured_text
@@ -30,6 +30,10 @@ def read_documents(
             "columnNameOfCorruptRecord", CORRUPT_COLUMN
         )
     scan = reader.schema(schema).json(paths if isinstance(paths, str) else list(paths))
+    return _documents_of(scan, permissive)
+
+
+def _documents_of(scan: DataFrame, permissive: bool = False) -> DataFrame:
     cluster_id = F.col("cluster_id")
     if not permissive:
         cluster_id = F.coalesce(
@@ -76,3 +80,56 @@ def merge_classes(positive: DataFrame, negative: DataFrame) -> DataFrame:
     return label_and_prefix(positive, 1, "p").unionByName(
         label_and_prefix(negative, 0, "n")
     )
+
+
+def write_class(
+    documents: DataFrame, path: str, label: int, prefix: str
+) -> None:
+    """One class's corpus as its part of a table by label; written again, it replaces itself.
+
+    Other classes' parts stay, so the classes can be added in any order and more than once.
+    """
+    marked = label_and_prefix(documents, label, prefix)
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "label"
+    ).parquet(path)
+
+
+def read_classes(spark: SparkSession, path: str) -> DataFrame:
+    """The corpus of all classes that :func:`write_class` has put there."""
+    table = spark.read.parquet(path)
+    return table.withColumn("label", F.col("label").cast("int"))
+
+
+def read_or_set_aside(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    aside: str,
+    most_malformed: int = 0,
+    mode: str = "error",
+) -> tuple[DataFrame, int]:
+    """Documents, and how many malformed lines were written to ``aside``.
+
+    ``aside`` gets ``(file, block_start, line)`` of every malformed line.  More than
+    ``most_malformed`` fail the job, after they have been written.
+    """
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.col("value").alias("line"),
+        F.from_json(
+            "value",
+            f"{DOCUMENT_SCHEMA}, {CORRUPT_COLUMN} string",
+            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COLUMN},
+        ).alias("_document"),
+    )
+    broken = F.col("_document").isNull() | F.col("_document")[CORRUPT_COLUMN].isNotNull()
+    lines = lines.where(F.trim("line") != "")
+    seen = Observation()
+    malformed = lines.where(broken).select("file", "block_start", "line")
+    malformed.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).json(aside)
+    n = seen.get["n"]
+    if n > most_malformed:
+        raise ValueError(f"{n} malformed lines, see {aside}")
+    fields = lines.where(~broken).select("_document.*")
+    return _documents_of(fields.drop(CORRUPT_COLUMN)), n

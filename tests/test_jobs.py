@@ -50,7 +50,10 @@ def test_from_documents_to_submission(spark, corpus, tmp_path):
 
     train, test = sp.train_test_split(vectors, "cluster_id", n_train=40)
     jobs.train(train, at("model"), svm.SvmOptions(kernel="linear"))
-    report = jobs.evaluate(spark, test, at("model"))
+    report = jobs.evaluate(spark, test, at("model"), records=at("records"))
+    n_test = n_clusters - 40
+    assert sc.read_truth(spark, at("records/truth")).count() == n_test
+    assert sc.read_scores(spark, at("records/scores")).count() == n_test
     assert report.errors.first()["total"] == n_clusters - 40
     assert report.errors.first()["error_percent"] < 10
 
@@ -80,6 +83,33 @@ def test_capped_and_generalised_dictionary(spark, tmp_path):
     ]
 
 
+def test_dictionary_by_documents(spark, tmp_path):
+    path = tmp_path / "d.jsonl"
+    texts = ["ab ab ab", "cd", "cd ef"]
+    path.write_text("".join(json.dumps({"extracted_text": t, "cluster_id": "c"}) + "\n" for t in texts))
+    assert jobs.build_dict(spark, str(path), str(tmp_path / "n"), by_documents=True) == 3
+    got = spark.read.parquet(str(tmp_path / "n")).orderBy("idx").collect()
+    assert [tuple(r) for r in got] == [(0, "cd", 2), (1, "ab", 1), (2, "ef", 1)]
+
+
+def test_one_line_a_cluster_is_a_choice(spark, corpus, tmp_path, monkeypatch):
+    from termloom.plans import pipeline as pl
+
+    monkeypatch.setattr(pl, "SEGMENT_SIZE", 5)
+    documents, n_clusters = corpus
+    at = lambda name: str(tmp_path / name)
+    jobs.build_dict(spark, documents, at("dict"))
+    jobs.vectorize(spark, documents, at("dict"), at("v"), text=at("pieces"))
+    jobs.vectorize(spark, documents, at("dict"), at("w"), text=at("lines"), one_line=True)
+    assert spark.read.text(at("lines")).count() == n_clusters < spark.read.text(at("pieces")).count()
+    from termloom.sources import vectors as vs
+
+    pieces, lines = (
+        sorted(map(str, vs.read_svmlite_entries(spark, at(x)).collect())) for x in ("pieces", "lines")
+    )
+    assert pieces == lines
+
+
 def test_fuse_keeps_fields_and_takes_the_last_line(spark, tmp_path):
     import json
 
@@ -99,6 +129,24 @@ def test_fuse_keeps_fields_and_takes_the_last_line(spark, tmp_path):
     assert got["a"]["note"] == "x" and got["b"]["more"]["n"] == 2
 
 
+def test_kept_and_discarded_tables(spark):
+    import os
+
+    from termloom.session import discard, materialize, run_scope, shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with run_scope(spark):
+        with run_scope(spark):
+            gone, kept = materialize(spark.range(5)), materialize(spark.range(6), keep=True)
+        assert len(set(os.listdir(folder)) - before) == 1 and kept.count() == 6
+        discard(kept, gone, spark.range(3))
+        assert set(os.listdir(folder)) == before
+    outside = materialize(spark.range(4))
+    discard(outside)
+    assert set(os.listdir(folder)) == before
+
+
 def test_a_run_leaves_no_intermediate_table(spark, tmp_path):
     import os
 

@@ -64,3 +64,48 @@ def test_scores_keep_named_fields_and_truth_is_read(spark, tmp_path):
     assert tuple(sc.read_scores(spark, path, "note string").first()) == ("c", 1.0, "n")
     path = write(tmp_path / "t", {"cluster_id": "c", "class": 1})
     assert tuple(sc.read_truth(spark, path).first()) == ("c", 1)
+
+
+def test_records_keep_their_own_fields_and_types(spark, tmp_path):
+    lines = [
+        '{"cluster_id":"a","score":0.5,"big":12345678901234567890,"m":7,"x":{"y":[1,null,"z"]}}',
+        '{"cluster_id":"b","score":1,"m":"seven","none":null}',
+        '{"cluster_id":3}', "",
+    ]
+    records = sc.read_records(spark, write(tmp_path / "r.jsonl", *lines))
+    assert sorted((r["cluster_id"], r["score"]) for r in records.collect() if r["score"]) == [
+        ("a", 0.5), ("b", 1.0)
+    ]
+    changed = records.withColumn("score", (records["score"] / 2))
+    sc.write_records(changed, str(tmp_path / "out"))
+    got = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    expected = [json.loads(x) for x in lines if x]
+    expected[0]["score"], expected[1]["score"] = 0.25, 0.5
+    key = lambda r: str(r["cluster_id"])
+    assert sorted(got, key=key) == sorted(expected, key=key)
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        sc.read_records(spark, write(tmp_path / "bad", "{broken")).collect()
+
+
+def test_classes_replace_themselves(spark, tmp_path):
+    docs = spark.createDataFrame([("1", "x"), ("2", "y")], "cluster_id string, extracted_text string")
+    path = str(tmp_path / "corpus")
+    for _ in range(2):
+        ds.write_class(docs, path, 1, "p")
+        ds.write_class(docs.limit(1), path, 0, "n")
+    got = ds.read_classes(spark, path).collect()
+    assert sorted((r["cluster_id"], r["label"]) for r in got) == [("n1", 0), ("p1", 1), ("p2", 1)]
+
+
+def test_malformed_lines_are_set_aside_within_a_bound(spark, tmp_path):
+    one = write(tmp_path / "a.jsonl", {"cluster_id": "c", "class": 1}, "{broken", "", "[1]")
+    two = write(tmp_path / "b.jsonl", {"cluster_id": "d"}, '{"cluster_id": "e", "class": "x"}')
+    documents, n = ds.read_or_set_aside(spark, [one, two], str(tmp_path / "bad"), most_malformed=5)
+    aside = spark.read.json(str(tmp_path / "bad")).collect()
+    assert n == len(aside) and {"{broken"} <= {r["line"] for r in aside}
+    assert {r["file"].rsplit("/", 1)[1] for r in aside} <= {"a.jsonl", "b.jsonl"}
+    kept = sorted((r["cluster_id"], r["label"]) for r in documents.fillna(-1).collect())
+    assert kept[0] == ("c", 1) and ("d", -1) in kept
+    with pytest.raises(ValueError, match="malformed"):
+        ds.read_or_set_aside(spark, [one, two], str(tmp_path / "worse"), most_malformed=0)
+    assert spark.read.json(str(tmp_path / "worse")).count() == n

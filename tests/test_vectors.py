@@ -4,7 +4,9 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from termloom.functions import svmlite
+from termloom.operators import dictionary as dc
 from termloom.operators import vectors as vc
+from termloom.plans import pipeline as pl
 from termloom.sources import vectors as vs
 
 BAGS = "doc_id int, cluster_id string, label int, bag array<struct<term:string,n:bigint>>"
@@ -170,3 +172,60 @@ def test_no_shuffle_by_cluster_alone_under_an_outer_join(spark, words):
 
 
 BAGS_SMALL = "cluster_id string, label int, bag array<struct<term:string,n:bigint>>"
+
+
+def test_membership_filter_loses_no_known_term(spark):
+    words = spark.range(5000).select(
+        F.col("id").alias("idx"), F.concat(F.lit("w"), F.col("id")).alias("term")
+    )
+    made = dc.membership(words)
+    assert made[0].count() <= made[1] == -(-5000 // dc.TERMS_PER_WORD)
+    entries = spark.range(20000).select(F.concat(F.lit("w"), F.col("id")).alias("term"))
+    kept = {r["term"] for r in dc.perhaps_known(entries, made).collect()}
+    assert {f"w{i}" for i in range(5000)} <= kept
+    assert len(kept) < 5000 + 0.15 * 15000
+    assert dc.membership(words, limit=100) is None
+    assert dc.perhaps_known(entries, None).count() == 20000
+
+
+def test_unknown_terms_are_dropped_before_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(dc, "HEAD_ROWS", 2)
+    words = spark.createDataFrame([(i, f"t{i}", 9 - i) for i in range(8)], "idx bigint, term string, n bigint")
+    rows = [("k", 1, [(f"t{i}", i + 1) for i in range(8)] + [(f"x{i}", 1) for i in range(500)])]
+    bags = spark.createDataFrame(rows, BAGS_SMALL)
+    large = vc.cluster_entries(bags, words, small_dictionary=False, unique=True)
+    small = vc.cluster_entries(bags, words, small_dictionary=True, unique=True)
+    assert set(map(tuple, large.collect())) == set(map(tuple, small.collect()))
+    plan = plan_of(large)
+    # the filter's join stands below the merge by cluster and term
+    assert "bits" in plan and plan.index("hashpartitioning(cluster_id") < plan.index("_bits")
+
+
+def test_entries_are_merged_once_and_the_dictionary_is_taken_as_it_is(spark, bags, words):
+    table, entries = pl.vectorize(bags, words)
+    assert "max(idx" not in plan_of(entries)
+    plan = plan_of(vc.cluster_vectors(table, entries))
+    assert "Generate" not in plan  # the merge is read from its table
+    other = pl.vectorize(bags, words, unique=False)[1]
+    assert "max(idx" in plan_of(other)
+
+
+def test_vector_files_in_pieces(spark, tmp_path):
+    rows = [(f"c{i:02d}", None if i % 3 else i % 2, [(k, float(i + k)) for k in range(i)]) for i in range(25)]
+    whole = spark.createDataFrame(rows, VECTORS)
+    entries = whole.select("cluster_id", F.inline("entries"))
+    pieces = vc.assemble(whole.select("cluster_id", "label"), entries, segment_size=4).repartition(5)
+    path = str(tmp_path / "v")
+    assert vs.write_svmlite(pieces, path) == pieces.count() > 60
+    assert max(len(r["value"].split()) for r in spark.read.text(path).collect()) == 5
+    got = vs.read_svmlite_entries(spark, path).collect()
+    expected = {(c, k, v) for c, _, e in rows for k, v in e or [(None, None)]}
+    assert {(r["cluster_id"], r["idx"], r["value"]) for r in got} == expected and len(got) == len(expected)
+    firsts = {c: c if label is None else str(label) for c, label, _ in rows}
+    assert {(r["cluster_id"], r["first"]) for r in got} == set(firsts.items())
+
+
+def test_written_rows_are_counted_by_the_write(spark, tmp_path):
+    rows = spark.createDataFrame([("c", 1, [(0, 1.0)])] * 7, VECTORS).repartition(3)
+    assert vs.write_vectors(rows, str(tmp_path / "v")) == 7
+    assert vs.write_vectors(rows.limit(0), str(tmp_path / "none")) == 0
