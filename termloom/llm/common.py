@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.session import BROADCAST_LIMIT_BYTES, materialize
+
 # Fixed values of the word rules.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +39,34 @@ def unpacked(columns: Iterable[str]) -> list[Column]:
     return [F.col(ROW).getField(c).alias(c) for c in columns]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(``ROW``, row): every row with a number of its own, the same whenever it is read.
+
+    A table read from files is numbered by file and place, and its texts are not copied.  Any
+    other is written with a counter first; inside a run scope it outlives that.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and (
+        "_metadata" not in docs.columns
+    ):
+        file, at = F.xxhash64(F.col("_metadata.file_path")), F.col("_metadata.row_index")
+        return docs.select(kept_row(docs), F.struct(file.alias("file"), at.alias("at")).alias("row"))
+    counter = F.struct(
+        F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at")
+    )
+    return materialize(docs.select(kept_row(docs), counter.alias("row")), keep=True)
+
+
+def without(marked: DataFrame, gone: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """The rows of :func:`numbered` but those in ``gone`` (row), with their own columns.
+
+    A list of measured small size is broadcast, so that the texts stay where they are.
+    """
+    small = 64 * gone.count() <= BROADCAST_LIMIT_BYTES
+    return marked.join(F.broadcast(gone) if small else gone, "row", "left_anti").select(
+        *unpacked(columns)
+    )
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null one as the empty text."""
     return F.coalesce(named(column).cast("string"), F.lit(""))

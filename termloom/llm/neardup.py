@@ -8,11 +8,11 @@ is missed with probability 5e-6.
 Equal shingle sets are one class first, whatever their number.  The leader of a bucket is
 its least class, so a group of near copies has few leaders.  A class is tested on the full
 sets against the least of its leaders, then against the leaders that this left in another
-component.  Only where a bucket still holds several components are its classes compared
-across them, after three exact bounds on what two sets can share: without the shingles that
-one of them has alone, by the triangle inequality of the distance over the leader, and by
-the common bits of small bitmaps.  So no group of copies is expanded into
-its pairs and no pair of a bucket between components is left out.
+component.  The classes of buckets that still hold several components are compared across
+them by an exact prefix join: similar sets share one of their rarest shingles, and only pairs
+that do are formed, after two exact bounds on what two sets can share: without the shingles
+that one of them has alone, and by the common bits of small bitmaps.  So no group of copies is
+expanded into its pairs and no pair of a bucket between components is left out.
 
 Defined results: a text without words is linked with nothing; a null key takes part and
 gets the least key of its component; repeated rows are one class and come back each;
@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import ROW, kept_row, named, text_of, unpacked
+from termloom.llm.common import ROW, named, numbered, text_of, without
 from termloom.llm.components import components
 from termloom.llm.encoding import slices
 from termloom.llm.shingles import PRIME, mixed, shingle_sets
-from termloom.session import materialize
+from termloom.session import materialize, run_scope
 
 #: Distance between two shifts on the ring of 2**64 places.
 STRIDE = np.uint64(0xD1342543DE82EF95)
@@ -180,6 +180,59 @@ def _sharing(rest: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _prefixes(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(s, cls, component): the rarest shingles of the classes that are left, enough of them.
+
+    Two sets of at least the similarity share one of their n - ceil(p n) + 1 rarest shingles in
+    any common order; here by the number of classes in ``rest`` that have them.  A shingle of
+    one component only cannot lead to a link between two.
+    """
+    own = rest.select("cls", "component").distinct().join(sets.select("cls", "n", "shingles"), "cls")
+    spread = own.select("cls", "component", "n", F.explode("shingles").alias("s"))
+    counts = spread.groupBy("s").agg(
+        F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    )
+    # the order within a set needs the counts of its shared shingles only: the others come first
+    shared = counts.where("m > 1").select("s", "m", (F.col("lo") != F.col("hi")).alias("across"))
+    ranked = (
+        spread.join(shared, "s")
+        .groupBy("cls", "component", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("m", "s", "across"))).alias("order"))
+    )
+    alone = F.col("n") - F.size("order")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    taken = F.slice("order", 1, F.greatest(length - alone, F.lit(0)).cast("int"))
+    return ranked.select("cls", "component", F.explode(F.filter(taken, lambda x: x["across"])).alias("x")).select(
+        F.col("x")["s"].alias("s"), "cls", "component"
+    )
+
+
+def _crossing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of classes of ``rest`` in different components that may be similar.
+
+    A pair is formed only where both have a shingle among their rarest; the exact bounds are
+    applied before the pairs are made distinct.
+    """
+    prefixes = materialize(_prefixes(rest, sets, percent).join(_sharing(rest, sets), "cls"))
+    columns = ("cls", "component", "n", "shared", "bits", "lost")
+    other = prefixes.select("s", *[F.col(c).alias(f"o_{c}") for c in columns])
+    most = F.least("shared", "o_shared")
+    at_most = _common_bits("bits", "o_bits") + F.least("lost", "o_lost")
+    # similarity m / (n + o_n - m) of at least p, solved for m
+    enough = percent * (F.col("n") + F.col("o_n"))
+    return (
+        prefixes.join(other, "s")
+        .where(
+            (F.col("cls") < F.col("o_cls"))
+            & (F.col("component") != F.col("o_component"))
+            & ((100 + percent) * most >= enough)
+            & ((100 + percent) * at_most >= enough)
+        )
+        .select(F.col("cls").alias("a"), F.col("o_cls").alias("b"))
+        .distinct()
+    )
+
+
 def _apart(pairs: DataFrame, reach: DataFrame, a: str, b: str) -> DataFrame:
     """The pairs whose classes are not in one component."""
     left = reach.select(F.col("vertex").alias(a), F.col("component").alias("ca"))
@@ -237,10 +290,6 @@ def near_duplicates(
     linked = linked.unionByName(again.where(_similar(percent)).select("a", "b"))
     reach = components(linked)
     # buckets that still hold several components: pairs across them
-    tested = tested.unionByName(again).select(
-        F.col("a").alias("leader"), F.col("b").alias("cls"),
-        (1 - F.col("common") / F.col("united")).alias("far"),
-    )
     placed_in = members.join(
         reach.select(F.col("vertex").alias("cls"), "component"), "cls", "left"
     ).select("bucket", "cls", "leader", F.coalesce("component", "cls").alias("component"))
@@ -253,29 +302,10 @@ def near_duplicates(
     rest = materialize(
         placed_in.join(mixed_buckets, "bucket")
         .where("cls <> leader")
-        .join(tested, ["leader", "cls"], "left")
-        .select("bucket", "cls", "component", "far")
-    )
-    rest = rest.join(_sharing(rest, sets), "cls")
-    columns = ("cls", "component", "far", "n", "shared", "bits", "lost")
-    other = rest.select("bucket", *[F.col(c).alias(f"o_{c}") for c in columns])
-    limit = 1 - percent / 100 + 1e-9
-    most = F.least("shared", "o_shared")
-    at_most = _common_bits("bits", "o_bits") + F.least("lost", "o_lost")
-    # similarity m / (n + o_n - m) of at least p, solved for m
-    enough = percent * (F.col("n") + F.col("o_n"))
-    crossing = (
-        rest.join(other, "bucket")
-        .where(
-            (F.col("cls") < F.col("o_cls"))
-            & (F.col("component") != F.col("o_component"))
-            & ((100 + percent) * most >= enough)
-            & F.coalesce(F.abs(F.col("far") - F.col("o_far")) <= limit, F.lit(True))
-            & ((100 + percent) * at_most >= enough)
-        )
-        .select(F.col("cls").alias("a"), F.col("o_cls").alias("b"))
+        .select("cls", "component")
         .distinct()
     )
+    crossing = _crossing(rest, sets, percent)
     more = materialize(_distance(crossing, sets).where(_similar(percent)).select("a", "b"))
     if not more.isEmpty():
         reach = components(linked.unionByName(more))
@@ -301,13 +331,15 @@ def near_duplicates(
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component with its own columns; rows without words are all kept.
 
-    Rows are told apart by a number of their own, so repeated keys lose their copies too.
+    Rows are told apart by a number of their own, so repeated keys lose their copies too; only
+    the numbers of the rows that go are kept.
     """
-    marked = materialize(docs.select(kept_row(docs), F.monotonically_increasing_id().alias("row")))
+    marked = numbered(docs)
     slim = marked.select(
         F.struct(F.col(ROW)[key].alias("k"), F.col("row").alias("r")).alias("key"),
         F.col(ROW)[text].alias("text"),
     )
-    found = near_duplicates(slim, key="key", text="text")
-    gone = found.where(~F.col("kept")).select(F.col("key")["r"].alias("row"))
-    return marked.join(gone, "row", "left_anti").select(*unpacked(docs.columns))
+    with run_scope(docs.sparkSession):
+        found = near_duplicates(slim, key="key", text="text")
+        gone = materialize(found.where(~F.col("kept")).select(F.col("key")["r"].alias("row")), keep=True)
+    return without(marked, gone, docs.columns)
