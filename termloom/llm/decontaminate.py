@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import ROW, kept_row, named, text_of, unpacked
+from termloom.llm.common import ROW, named, numbered, text_of, without
 from termloom.llm.encoding import slices
 from termloom.llm.shingles import translated
-from termloom.session import materialize
+from termloom.session import materialize, run_scope
 
 #: Text of one index row, and text of one slice of benchmark items.
 BLOCK_BYTES = 8 << 20
@@ -275,13 +275,15 @@ def contaminated(percent: int = 5):
     return (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their own columns.
 
-    Rows are told apart by a number of their own, so repeated keys are judged each.  Only the
-    few contaminated rows are moved to be taken out.
+    Rows are told apart by a number of their own, so repeated keys are judged each; only the
+    numbers of the contaminated rows are kept.
     """
-    marked = materialize(docs.select(kept_row(docs), F.monotonically_increasing_id().alias("row")))
-    slim = marked.select("row", F.col(ROW)["text"].alias("text"))
-    bad = contamination(slim, benchmark, key="row").where(contaminated()).select("row")
-    return marked.join(bad, "row", "left_anti").select(*unpacked(docs.columns))
+    marked = numbered(docs)
+    slim = marked.select("row", F.col(ROW)[text].alias("text"))
+    with run_scope(docs.sparkSession):
+        bad = contamination(slim, benchmark, key="row").where(contaminated())
+        gone = materialize(bad.select("row"), keep=True)
+    return without(marked, gone, docs.columns)
