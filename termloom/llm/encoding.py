@@ -7,6 +7,7 @@ encoded by the tokenizers library once and its ids are gathered from a table.
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from functools import lru_cache
@@ -41,15 +42,44 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def rank_merger(path: str):
+    """A merger of single words over the ids as ranks; None unless the two orders agree.
+
+    Where every merge makes a token with a larger id than the merge before, the lowest id among
+    the possible merges is the first one in the list, and the tiktoken library merges alike.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocabulary = model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+    made = [vocabulary.get("".join(pair), -1) for pair in pairs]
+    as_byte = {c: b for b, c in enumerate(byte_alphabet())}
+    tokens = {i: t for t, i in vocabulary.items() if all(c in as_byte for c in t)}
+    singles = {tokens[i] for i in tokens if len(tokens[i]) == 1}
+    if made != sorted(set(made)) or len(singles) != 256 or (made and made[0] < 0):
+        return None
+    kept = {i for t, i in vocabulary.items() if t in singles} | set(made)
+    ranks = {bytes(map(as_byte.__getitem__, tokens[i])): i for i in kept}
+    return tiktoken.Encoding(
+        "words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}
+    )
+
+
 class Encoder:
-    """``encode`` gives the ids of a batch; the piece cache holds at most ``limit`` entries."""
+    """``encode`` gives the ids of a batch; the piece cache holds at most ``limit`` entries.
+
+    With ``by_rank`` words are merged by :func:`rank_merger` where the vocabulary allows.
+    """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 250_000, by_rank: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.alphabet = dict(enumerate(byte_alphabet()))
+        self.merger = rank_merger(path) if by_rank else None
         self.cache: dict[str, bytes] = {}
         self.limit = limit
 
@@ -59,6 +89,8 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """One piece of the pattern: letters with at most one space before."""
+        if self.merger is not None:
+            return array("I", self.merger._encode_single_piece(word.encode())).tobytes()
         shown = word.encode().decode("latin-1").translate(self.alphabet)
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
@@ -118,9 +150,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, by_rank: bool = False) -> Encoder:
     """The encoder of this worker process; it serves every task that runs here."""
-    return Encoder(path)
+    return Encoder(path, by_rank=by_rank)
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):

@@ -12,7 +12,7 @@ import hashlib
 import numpy as np
 
 #: Average number of keys that share a displacement.
-BUCKET_KEYS = 4
+BUCKET_KEYS = 2
 
 
 def key_hashes(key: bytes) -> tuple[int, int, int, int]:
@@ -29,44 +29,55 @@ def spot(one: int, two: int, d: int, n: int) -> int:
     return (x >> 24) % n
 
 
+def _spots(mixed: np.ndarray, d: int, n: int) -> np.ndarray:
+    """:func:`spot` of many keys, their slot hashes joined in one number."""
+    x = mixed ^ np.uint64(d * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x >> np.uint64(24)) % np.uint64(n)).astype(np.int64)
+
+
 def build(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Displacements and the fingerprint at each slot; keys must differ."""
+    """Displacements and the fingerprint at each slot; keys must differ.
+
+    All buckets of one size try a displacement together; of those that want the same slot the
+    first one gets it.
+    """
     n = len(keys)
+    if len(set(keys)) < n:
+        raise ValueError("no displacement found: keys repeat")
     n_buckets = max(1, -(-n // BUCKET_KEYS))
-    hashed = [key_hashes(k) for k in keys]
-    buckets: list[list[int]] = [[] for _ in range(n_buckets)]
-    for i, h in enumerate(hashed):
-        buckets[h[0] % n_buckets].append(i)
+    hashed = np.array([key_hashes(k) for k in keys], np.uint64).reshape(n, 4)
+    mixed, marks = hashed[:, 1] << np.uint64(32) | hashed[:, 2], hashed[:, 3].astype(np.uint32)
+    bucket = (hashed[:, 0] % np.uint64(n_buckets)).astype(np.int64)
+    members, held = np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=n_buckets)
+    first = np.cumsum(held) - held
     shift = np.zeros(n_buckets, np.int32)
     prints = np.zeros(n, np.uint32)
-    taken = bytearray(n)
-    order = sorted(range(n_buckets), key=lambda b: -len(buckets[b]))
-    free = None
-    for b in order:
-        members = buckets[b]
-        if not members:
-            break
-        if len(members) == 1:
-            # a direct slot, told apart by its sign
-            if free is None:
-                free = iter([s for s in range(n) if not taken[s]])
-            at = next(free)
-            shift[b] = -at - 1
-            prints[at] = hashed[members[0]][3]
-            continue
+    taken = np.zeros(n, bool)
+    claim = np.zeros(n, np.int64)
+    for size in range(int(held.max(initial=0)), 1, -1):
+        own = np.flatnonzero(held == size)
+        rows = members[first[own][:, None] + np.arange(size)]
         d = 0
-        while True:
-            spots = {spot(hashed[i][1], hashed[i][2], d, n) for i in members}
-            if len(spots) == len(members) and not any(taken[s] for s in spots):
-                break
-            d += 1
+        while len(own):
+            at = _spots(mixed[rows], d, n)
+            free = (np.diff(np.sort(at, axis=1), axis=1) > 0).all(axis=1) & ~taken[at].any(axis=1)
+            wanted = np.flatnonzero(free)
+            # the last of the writes to a slot counts, so the buckets are written backwards
+            claim[at[wanted[::-1]]] = wanted[::-1, None]
+            placed = wanted[(claim[at[wanted]] == wanted[:, None]).all(axis=1)]
+            shift[own[placed]] = d
+            taken[at[placed]] = True
+            prints[at[placed]] = marks[rows[placed]]
+            left = np.ones(len(own), bool)
+            left[placed] = False
+            own, rows, d = own[left], rows[left], d + 1
             if d > 1 << 24:
-                raise ValueError("no displacement found: keys repeat")
-        shift[b] = d
-        for i in members:
-            at = spot(hashed[i][1], hashed[i][2], d, n)
-            taken[at] = 1
-            prints[at] = hashed[i][3]
+                raise ValueError("no displacement found")
+    # single keys get a direct slot, told apart by its sign
+    own, free = np.flatnonzero(held == 1), np.flatnonzero(~taken)
+    shift[own] = -free - 1
+    prints[free] = marks[members[first[own]]]
     return shift, prints
 
 

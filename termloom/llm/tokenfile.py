@@ -47,7 +47,9 @@ def key_bytes(key: object) -> bytes:
     return b"" if key is None else b"k" + str(key).encode()
 
 
-def _shard(part: int, number: int, start: int, keys: pa.Array, ids: list, counts: list) -> dict:
+def _shard(
+    part: int, number: int, start: int, keys: pa.Array, ids: np.ndarray, counts: np.ndarray
+) -> dict:
     plain = keys.to_pylist()
     first: dict[bytes, list[int]] = {}
     for i, key in enumerate(plain):
@@ -57,15 +59,48 @@ def _shard(part: int, number: int, start: int, keys: pa.Array, ids: list, counts
     entry = np.zeros((len(first), 2), "<u4")
     for key, at in first.items():
         entry[slot(key, shift, prints)] = at
-    offset = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
+    offset = np.concatenate([[0], np.cumsum(counts)])
     return {
         "part": part, "shard": number, "first": plain[0], "last": plain[-1], "start": start,
         "n_ids": int(offset[-1]), "keys": plain, "shift": shift.astype("<i4").tobytes(),
         "prints": prints.astype("<u4").tobytes(), "entry": entry.tobytes(),
-        "offset": offset.astype("<i8").tobytes(), "ids": b"".join(ids),
+        "offset": offset.astype("<i8").tobytes(), "ids": ids.astype("<u4").tobytes(),
     }
 
 
+class _Pending:
+    """Encoded documents that wait for their shard to be full."""
+
+    def __init__(self, shard_ids: int):
+        self.most = shard_ids
+        self.keys: list[pa.Array] = []
+        self.ids: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.n_ids = 0
+
+    def add(self, keys: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.ids.append(ids)
+        self.counts.append(counts)
+        self.n_ids += len(ids)
+
+    def cut(self, last: bool) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """Full shards, at the end also what is left; a longer document is a shard of its own."""
+        if not self.keys or not (last or self.n_ids > self.most):
+            return
+        keys, ids, counts = pa.concat_arrays(self.keys), np.concatenate(self.ids), np.concatenate(self.counts)
+        upto = np.cumsum(counts)
+        at = done = 0
+        while at < len(counts):
+            end = max(at + 1, int(np.searchsorted(upto, done + self.most, "right")))
+            if end == len(counts) and not last:
+                break
+            yield keys.slice(at, end - at), ids[done:upto[end - 1]], counts[at:end]
+            at, done = end, int(upto[end - 1])
+        self.keys, self.ids, self.counts = [keys.slice(at)], [ids[done:].copy()], [counts[at:]]
+        self.n_ids = len(self.ids[0])
+
+
 def write(
     docs: DataFrame,
     path: str,
@@ -88,19 +123,19 @@ def write(
     schema = SHARD_TYPE.format(kind=kind.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(where).encode
+        encode = encoder(where, by_rank=True).encode
         part = TaskContext.get().partitionId()
-        number = start = held = 0
-        keys, ids, counts = [], [], []
+        number = start = 0
+        pending = _Pending(shard_ids)
         shape = None
 
-        def flush() -> pa.RecordBatch:
-            nonlocal number, start, held, keys, ids, counts
-            row = _shard(part, number, start, pa.concat_arrays(keys), ids, counts)
-            number += 1
-            start += row["n_ids"]
-            held, keys, ids, counts = 0, [], [], []
-            return pa.RecordBatch.from_pylist([row], schema=shape)
+        def rows(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal number, start
+            for keys, ids, counts in pending.cut(last):
+                row = _shard(part, number, start, keys, ids, counts)
+                number += 1
+                start += row["n_ids"]
+                yield pa.RecordBatch.from_pylist([row], schema=shape)
 
         for batch in (s for b in batches for s in slices(b, "t")):
             if shape is None:
@@ -111,18 +146,12 @@ def write(
                      *[(c, pa.binary()) for c in ("shift", "prints", "entry", "offset", "ids")]]
                 )
             flat, widths = encode(batch.column("t"))
-            at = 0
-            for i, n in enumerate(widths.tolist()):
-                if held and held + n + 1 > shard_ids:
-                    yield flush()
-                own = np.append(flat[at:at + n], np.uint32(end_id)).astype("<u4").tobytes()
-                at += n
-                held += n + 1
-                keys.append(batch.column("key").slice(i, 1))
-                ids.append(own)
-                counts.append(n + 1)
-        if held:
-            yield flush()
+            pending.add(
+                batch.column("key"), np.insert(flat, np.cumsum(widths), np.uint32(end_id)), widths + 1
+            )
+            yield from rows(False)
+        if shape is not None:
+            yield from rows(True)
 
     ordered.drop("row").mapInArrow(run, schema).write.parquet(path)
 

@@ -18,9 +18,9 @@ from termloom.llm.packing import lengths_of
 pytest.importorskip("public_tokenizers")
 
 
-@pytest.fixture(scope="module")
-def encoder():
-    return Encoder(default_tokenizer())
+@pytest.fixture(scope="module", params=[False, True])
+def encoder(request):
+    return Encoder(default_tokenizer(), by_rank=request.param)
 
 
 def same_ids(encoder, texts):
@@ -48,6 +48,19 @@ def test_encoder_on_any_text(encoder, texts):
     same_ids(encoder, texts)
 
 
+def test_words_are_merged_as_by_the_tokenizer(encoder):
+    """Every vocabulary entry and random strings of parts of entries."""
+    if encoder.merger is None:
+        pytest.skip("words go to the tokenizer")
+    rng = random.Random(9)
+    tokens = [t for t in encoder.tokenizer.get_vocab() if t != "<|endoftext|>"]
+    back = {c: b for b, c in encoder.alphabet.items()}
+    words = tokens[::7] + ["".join(rng.choice(tokens) for _ in range(rng.randint(2, 4))) for _ in range(20000)]
+    for shown in words:
+        raw = bytes(back[c] for c in shown)
+        assert encoder.merger._encode_single_piece(raw) == [t.id for t in encoder.model.tokenize(shown)]
+
+
 def test_encoder_on_slices(encoder):
     batch = pa.record_batch({"t": pa.array([f"text {i} öf x" * (i % 7) for i in range(300)])})
     parts = list(slices(batch, "t", 500))
