@@ -1,17 +1,20 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with templates.
 
-A text block is a line.  A line meets a template when it holds at least the threshold's
-share of the template's distinct words.  The words of all templates are ordered by their
-frequency in the whole corpus, rarest first; then
-
-* prefix filter: a line must hold one of a template's first n - need + 1 words,
-* length filter: it must have at least ``need`` distinct words,
-* positional filter: with the first shared word at place i of the template, at most n - i
-  words can be shared,
-
-and what passes is counted exactly.  No filter can drop a line that meets the threshold.
-The templates are fixed, so they go into the plan as literals; the scan is one pass over
-the rows after one pre-aggregated count of template words.
+A text block is a run of words, across line ends, as long as a template and a quarter more.  It
+meets the template when it holds at least the threshold's share of the template's distinct
+words.  The words of all templates are ordered by the number of texts in the whole corpus that
+hold them, rarest first; then
+
+* prefix filter: a block must hold one of a template's first n - need + 1 words, so only blocks
+  around such words are looked at, found by one lookup from word to templates,
+* length filter: a text must have at least ``need`` words,
+* positional filter: with a shared word at place i of the template and none before it, at most
+  n - i words can be shared; the words of the prefix are the ones for which that is enough,
+
+and the blocks that pass are counted exactly.  No filter can drop a block that meets the
+threshold.  Templates are a parameter and go into the plan as one literal table, whatever their
+number; the scan is one pass over the rows after one pre-aggregated count of template words.
+A text is cut into words only if it holds one of the rarest words as characters.
 
 Everything is column expressions.  Defined results: null text has no words; a text without
 hits has no labels and score 0; repeated rows come back each; an empty table gives an
@@ -21,7 +24,7 @@ empty table.
 from __future__ import annotations
 
 import math
-import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,15 +57,8 @@ TEMPLATES = (
     ("proprietary", "all rights reserved no part of this work may be reproduced without permission"),
 )
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# One character that belongs to no word, and one that belongs to a word.
-GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-INSIDE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-
-
-def phrase_pattern(phrase: str) -> str:
-    """The phrase's words one after another in any case, with any gaps."""
-    words = [f"(?i:{re.escape(w)})" for w in phrase.split()]
-    return rf"(?<!{INSIDE}){(GAP + '++').join(words)}(?!{INSIDE})"
+# A block is longer than its template by this part of it.
+SLACK = 4
 
 
 def count_words(text: Column) -> Column:
@@ -71,137 +67,135 @@ def count_words(text: Column) -> Column:
 
 def lower_words(text: Column) -> Column:
     """Words with A-Z in lower case."""
-    words = F.regexp_extract_all(text, F.lit(LETTER_WORD_RAW), F.lit(0))
-    return F.transform(words, lambda w: F.translate(w, UPPER, SMALL))
+    return F.regexp_extract_all(F.translate(text, UPPER, SMALL), F.lit(LETTER_WORD_RAW), F.lit(0))
 
 
-def template_order(docs: DataFrame, text: str = "text") -> list[str]:
-    """The words of the templates, rarest in ``docs`` first.
+def block_length(template: str) -> int:
+    """Words of the blocks that are compared with a template."""
+    n = len(template.split())
+    return n + max(1, n // SLACK)
 
-    The result is bounded by the templates' vocabulary.
-    """
-    vocabulary = sorted({w for _, t in TEMPLATES for w in t.split()})
-    pattern = rf"(?<!{INSIDE})(?i:{'|'.join(sorted(vocabulary, key=len, reverse=True))})(?!{INSIDE})"
-    counts = (
-        docs.select(text_of(text).alias("t"))
-        .select(F.explode_outer(F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).alias("w"))
-        .where("w is not null")
-        .groupBy(F.translate("w", UPPER, SMALL).alias("w"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    )
-    n = {r["w"]: r["n"] for r in counts}
-    return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
-
-
-def _shared(block: Column, template: list[str], need: int) -> Column:
-    """Shared distinct words of a block with a template; 0 below the threshold."""
-    n = len(template)
-    prefix = F.array(*[F.lit(w) for w in template[: n - need + 1]])
-    whole = F.array(*[F.lit(w) for w in template])
-    common = F.array_intersect(whole, block)
-    first = F.array_position(whole, F.get(common, F.lit(0))) - 1
-    return (
-        F.when(F.size(block) < need, 0)
-        .when(~F.arrays_overlap(block, prefix), 0)
-        .when((n - first < need) | (F.size(common) < need), 0)
-        .otherwise(F.size(common))
-    )
 
+def word_order(docs: DataFrame, text: str, vocabulary: list[str]) -> list[str]:
+    """The words, those first that the fewest texts hold as characters.
 
-def scan(docs: DataFrame, text: str = "text", threshold: float = 0.9,
-         carry: list[str] | None = None) -> DataFrame:
+    The result is bounded by the vocabulary.
+    """
+    low = docs.select(F.lower(text_of(text)).alias("low"))
+    counts = low.agg(
+        *[F.count_if(F.col("low").contains(w)).alias(f"n{i}") for i, w in enumerate(vocabulary)]
+    ).first()
+    return [w for _, w in sorted(zip(counts, vocabulary))]
+
+
+def _all_of(words: Column, at: Column, phrase: list[str]) -> Column:
+    same = F.get(words, at) == phrase[0]
+    for j, word in enumerate(phrase[1:], 1):
+        same = same & (F.get(words, at + j) == word)
+    return same
+
+
+def scan(
+    docs: DataFrame,
+    text: str = "text",
+    threshold: float = 0.9,
+    carry: list[str] | None = None,
+    phrases: Sequence[tuple[str, str]] = PHRASES,
+    templates: Sequence[tuple[str, str]] = TEMPLATES,
+) -> DataFrame:
     """(``ROW``, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
-    The label lists are arrays, sorted.  ``score`` is 1 where a base phrase stands, else the
-    largest share of a template that a line holds, if it meets the threshold, else 0.
+    ``phrases`` are (words, label), ``templates`` (label, words), all in lower case.  The label
+    lists are arrays, sorted.  ``score`` is 1 where a phrase stands, else the largest share of a
+    template that a block holds, if it meets the threshold, else 0.
     """
-    order = {w: i for i, w in enumerate(template_order(docs, text))}
-    templates = [
-        (label, sorted(set(t.split()), key=order.__getitem__)) for label, t in TEMPLATES
-    ]
+    vocabulary = sorted({w for p, _ in phrases for w in p.split()} | {w for _, t in templates for w in t.split()})
+    order = {w: i for i, w in enumerate(word_order(docs, text, vocabulary))}
+    sets = [sorted(set(t.split()), key=order.__getitem__) for _, t in templates]
+    needs = [math.ceil(threshold * len(t)) for t in sets]
+    of_word: dict[str, list[int]] = {}
+    for k, (words, need) in enumerate(zip(sets, needs)):
+        for w in words[: len(words) - need + 1]:
+            of_word.setdefault(w, []).append(k)
+    spelled = [p.split() for p, _ in phrases]
+    rarest = [min(p, key=order.__getitem__) for p in spelled]
     rows = docs.select(kept_row(docs, carry), text_of(text).alias("t"))
-    patterns = [phrase_pattern(p) for p, _ in PHRASES]
-    # words before each place: the words of the pieces between places, and of the places
+    rows = rows.select(ROW, "t", F.lower("t").alias("low"))
+    may_hold = F.lit(False)
+    for w in sorted({*of_word, *rarest}, key=order.__getitem__):
+        may_hold = may_hold | F.col("low").contains(w)
     none = F.array().cast("array<string>")
-    pieces = [
-        F.when(F.col("t").rlike(p), F.split("t", p, -1)).otherwise(none).alias(f"p{i}")
-        for i, p in enumerate(patterns)
-    ]
-    rare = sorted({w for _, t in templates for w in t[: len(t) - math.ceil(threshold * len(t)) + 1]})
-    may_hold = F.col("t").rlike(rf"(?<!{INSIDE})(?i:{'|'.join(rare)})(?!{INSIDE})")
+    rows = rows.select(ROW, "t", F.when(may_hold, lower_words(F.col("t"))).alias("w"))
     rows = rows.select(
         ROW,
-        count_words(F.col("t")).alias("n_words"),
-        *pieces,
-        F.when(may_hold, F.split("t", "\n", -1)).otherwise(none).alias("lines"),
+        F.when(F.col("w").isNull(), count_words(F.col("t"))).otherwise(F.size("w").cast("long")).alias("n_words"),
+        F.coalesce("w", none).alias("w"),
     )
-    starts = []
-    for i, (phrase, _) in enumerate(PHRASES):
-        width = len(phrase.split())
-        starts.append(
-            F.when(
-                F.size(f"p{i}") > 1,
-                F.aggregate(
-                    F.slice(f"p{i}", 1, F.size(f"p{i}") - 1),
-                    F.struct(
-                        F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out")
-                    ),
-                    _advancing(width),
-                    lambda acc: acc["out"],
-                ),
-            ).otherwise(F.array().cast("array<long>")).alias(f"s{i}")
-        )
-    blocks = F.transform(
-        F.filter("lines", lambda x: x.rlike(rf"(?<!{INSIDE})(?i:{'|'.join(rare)})(?!{INSIDE})")),
-        lambda x: F.array_distinct(lower_words(x)),
-    )
-    rows = rows.select(ROW, "n_words", *starts, blocks.alias("blocks"))
-    shares = [
-        F.coalesce(
-            F.array_max(
-                F.transform("blocks", _sharing(t, math.ceil(threshold * len(t))))
-            ),
-            F.lit(0),
-        ).alias(f"c{i}")
-        for i, (_, t) in enumerate(templates)
+    n = F.size("w")
+    starts = [
+        F.when(
+            (n >= len(p)) & F.array_contains("w", rare),
+            F.filter(F.sequence(F.lit(0), n - len(p)), _standing(p)),
+        ).otherwise(F.array().cast("array<int>")).alias(f"s{i}")
+        for i, (p, rare) in enumerate(zip(spelled, rarest))
     ]
-    rows = rows.select(ROW, "n_words", *[f"s{i}" for i in range(len(PHRASES))], *shares)
-    places = F.concat(*[F.col(f"s{i}") for i in range(len(PHRASES))])
-    base = F.array_compact(
-        F.array(*[F.when(F.size(f"s{i}") > 0, label) for i, (_, label) in enumerate(PHRASES)])
+    hits = F.filter(
+        F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
+        lambda e: e["x"].isin(*of_word) if of_word else F.lit(False),
     )
-    more = F.array_compact(
-        F.array(
-            *[
-                F.when(F.col(f"c{i}") >= math.ceil(threshold * len(t)), label)
-                for i, (label, t) in enumerate(templates)
-            ]
-        )
+    rows = rows.select(ROW, "n_words", "w", *starts, hits.alias("hits"))
+    found = F.lit(None).cast("array<struct<k:int,shared:int>>")
+    if templates:
+        found = F.flatten(F.transform("hits", _met(sets, [block_length(t) for _, t in templates], of_word)))
+    enough = F.filter(
+        F.coalesce(found, F.array().cast("array<struct<k:int,shared:int>>")),
+        lambda m: m["shared"] >= F.get(F.lit(needs or [0]), m["k"]),
     )
-    best = F.greatest(*[F.col(f"c{i}") / len(t) for i, (_, t) in enumerate(templates)])
+    columns = [f"s{i}" for i in range(len(phrases))]
+    rows = rows.select(ROW, "n_words", *columns, enough.alias("met"))
+    places = F.concat(*[F.col(c) for c in columns]) if columns else F.array().cast("array<int>")
+    base = F.array_compact(
+        F.array(*[F.when(F.size(c) > 0, label) for c, (_, label) in zip(columns, phrases)])
+    ).cast("array<string>")
+    names, sizes = F.lit([label for label, _ in templates] or [""]), F.lit([float(len(t)) for t in sets] or [1.0])
+    best = F.array_max(F.transform("met", lambda m: m["shared"] / F.get(sizes, m["k"])))
     return rows.select(
         ROW,
         "n_words",
         F.size(places).cast("long").alias("n_base"),
-        F.array_min(places).alias("first_word"),
-        F.array_max(places).alias("last_word"),
+        F.array_min(places).cast("long").alias("first_word"),
+        F.array_max(places).cast("long").alias("last_word"),
         F.sort_array(F.array_distinct(base)).alias("base_labels"),
-        F.sort_array(F.array_union(base, more)).alias("labels"),
-        F.when(F.size(places) > 0, 1.0).otherwise(best).alias("score"),
+        F.sort_array(F.array_union(base, F.transform("met", lambda m: F.get(names, m["k"])))).alias("labels"),
+        F.when(F.size(places) > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
     )
 
 
-def _advancing(width: int):
-    def advance(acc: Column, piece: Column) -> Column:
-        at = acc["at"] + count_words(piece)
-        return F.struct((at + width).alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+def _standing(phrase: list[str]):
+    def standing(at: Column) -> Column:
+        return _all_of(F.col("w"), at, phrase)
+
+    return standing
+
+
+def _met(sets: list[list[str]], lengths: list[int], of_word: dict[str, list[int]]):
+    """From a hit to (template, most shared words of a block that holds the hit)."""
+    table, spans = F.lit(sets), F.lit(lengths)
+    templates_of = F.map_from_arrays(F.lit(list(of_word)), F.lit(list(of_word.values())))
 
-    return advance
+    def of_template(hit: Column):
+        def best(k: Column) -> Column:
+            length = F.get(spans, k)
+            begin = F.greatest(hit["i"] - length + 1, F.lit(0))
+            shared = F.transform(
+                F.sequence(begin, hit["i"]),
+                lambda s: F.size(F.array_intersect(F.get(table, k), F.slice("w", s + 1, length))),
+            )
+            return F.struct(k.cast("int").alias("k"), F.array_max(shared).alias("shared"))
 
+        return best
 
-def _sharing(template: list[str], need: int):
-    def shared(block: Column) -> Column:
-        return _shared(block, template, need)
+    def met(hit: Column) -> Column:
+        return F.transform(F.element_at(templates_of, hit["x"]), of_template(hit))
 
-    return shared
+    return met

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from termloom.llm.licenses import PHRASES, SMALL, TEMPLATES, UPPER
+from termloom.llm.licenses import PHRASES, SMALL, TEMPLATES, UPPER, block_length
 from termloom.llm.rules import RuleOptions
 
 _LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -76,11 +76,12 @@ def _op6(threshold: float = 0.9) -> str:
         for p, label in PHRASES
     )
     templates = ", ".join(
-        "('{}', [{}], {}, {})".format(
+        "('{}', [{}], {}, {}, {})".format(
             label,
             ", ".join(f"'{w}'" for w in sorted(set(t.split()))),
             len(set(t.split())),
             math.ceil(threshold * len(set(t.split()))),
+            block_length(t),
         )
         for label, t in TEMPLATES
     )
@@ -91,20 +92,24 @@ WITH words AS MATERIALIZED (
 places AS MATERIALIZED (
   SELECT doc_id, w, unnest(range(len(w))) AS i FROM words WHERE {hints}),
 spots AS ({spots}),
-templates(label, t, size, need) AS (VALUES {templates}),
+templates(label, t, size, need, length) AS (VALUES {templates}),
 template_words AS (
-  SELECT row_number() OVER () AS template, label, size, need, t FROM templates),
-sought AS (SELECT template, label, size, need, unnest(t) AS word FROM template_words),
-lines AS (
-  SELECT doc_id, unnest(range(len(x))) AS line, unnest(x) AS body
-  FROM (SELECT doc_id, string_split({_lower('text')}, chr(10)) AS x FROM documents)),
-line_words AS (
-  SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(body, '{_LETTERS}')) AS word
-  FROM lines),
+  SELECT row_number() OVER () AS template, label, size, need, length, t FROM templates),
+sought AS (SELECT template, unnest(t) AS word FROM template_words),
+spread AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM words),
+hits AS MATERIALIZED (SELECT doc_id, template, word, i FROM spread JOIN sought USING (word)),
+holding AS (
+  SELECT doc_id, template FROM hits JOIN template_words USING (template)
+  GROUP BY doc_id, template, need HAVING count(DISTINCT word) >= need),
 met AS (
-  SELECT doc_id, any_value(label) AS label, count(*) / CAST(any_value(size) AS DOUBLE) AS share
-  FROM line_words JOIN sought USING (word)
-  GROUP BY doc_id, line, template HAVING count(*) >= any_value(need)),
+  SELECT a.doc_id, label, count(DISTINCT b.word) / CAST(size AS DOUBLE) AS share
+  FROM holding h JOIN template_words t USING (template)
+       JOIN hits a ON a.doc_id IS NOT DISTINCT FROM h.doc_id AND a.template = h.template
+       JOIN hits b ON b.doc_id IS NOT DISTINCT FROM a.doc_id AND b.template = a.template
+                  AND b.i >= a.i AND b.i < a.i + length
+  GROUP BY a.doc_id, a.template, a.i, label, size, need
+  HAVING count(DISTINCT b.word) >= need),
 based AS (
   SELECT doc_id, count(*) AS n_base, CAST(min(i) AS BIGINT) AS first_word,
          CAST(max(i) AS BIGINT) AS last_word,
@@ -128,17 +133,13 @@ def _op9(options: RuleOptions = RuleOptions()) -> str:
         "repeat_ratio": "n_repeat_words / greatest(n_words, 1)",
         "upper_ratio": "n_upper / greatest(word_chars, 1)",
     }
-    tried = " UNION ALL ".join(
-        f"SELECT lang, '{rule}' AS rule, {c}::DOUBLE AS cut, count(*) AS n, "
-        f"count(*) FILTER ({rule} >= {c}::DOUBLE) AS k FROM good GROUP BY lang"
-        for rule, values in options.cutoffs for c in values
+    steps = ", ".join(
+        "({}, {})".format(k, ", ".join("NULL::DOUBLE" if cut[r] is None else f"{cut[r]}::DOUBLE" for r in ratios))
+        for k, cut in enumerate(options.ladder(), 1)
     )
-    rejected = " OR ".join(
-        f"coalesce({rule} >= (SELECT cut FROM best b WHERE b.lang = judged.lang "
-        f"AND b.rule = '{rule}'), false)"
-        for rule, _ in options.cutoffs
-    )
-    rate = options.rate
+    broken = " OR ".join(f"coalesce({r} >= cut_{r}, false)" for r in ratios)
+    rate = options.false_rejections
+    names = ", ".join(f"cut_{r}" for r in ratios)
     return rf"""
 WITH texts AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
@@ -171,21 +172,36 @@ good AS (
   SELECT judged.* FROM judged
   JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id)
   WHERE NOT base_failed),
-tried AS ({tried}),
+steps(step, {names}) AS (VALUES {steps}),
+tried AS (
+  SELECT lang, step, count(*) AS n, count(*) FILTER ({broken}) AS k
+  FROM good, steps GROUP BY lang, step),
+pooled AS (SELECT NULL AS lang, step, sum(n) AS n, sum(k) AS k FROM tried GROUP BY step),
 tails AS (
-  SELECT lang, rule, cut,
+  SELECT lang, step, lang IS NULL AS is_pooled,
          CASE WHEN k >= n * {rate} THEN 1.0 ELSE
            (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
                            + j * ln({rate}) + (n - j) * ln(1 - {rate})))
-            FROM (SELECT unnest(range(k + 1)) AS j)) END AS p
-  FROM tried),
-best AS (
-  SELECT lang, rule, min(cut) AS cut FROM tails
-  WHERE p <= {options.delta} / ({options.tests} * (SELECT count(DISTINCT lang) FROM good))
-  GROUP BY lang, rule)
+            FROM (SELECT unnest(range(CAST(k AS BIGINT) + 1)) AS j)) END AS p
+  FROM (SELECT * FROM tried UNION ALL SELECT * FROM pooled)),
+reached AS (
+  SELECT lang, is_pooled, count(*) FILTER (passed) AS step
+  FROM (SELECT lang, is_pooled, step,
+               bool_and(p <= CASE WHEN is_pooled THEN {options.delta / 2} ELSE
+                 {options.delta / 2} / (SELECT count(DISTINCT lang) FROM good) END)
+                 OVER (PARTITION BY is_pooled, lang ORDER BY step) AS passed FROM tails)
+  GROUP BY lang, is_pooled),
+chosen AS (
+  SELECT lang, CASE WHEN coalesce(own.step, 0) > 0 THEN own.step
+                    ELSE coalesce((SELECT step FROM reached WHERE is_pooled), 0) END AS step
+  FROM (SELECT DISTINCT lang FROM judged) LEFT JOIN (SELECT * FROM reached WHERE NOT is_pooled) own
+       USING (lang)),
+verdicts AS (
+  SELECT judged.*, coalesce({broken}, false) AS broken
+  FROM judged JOIN chosen USING (lang) LEFT JOIN steps ON chosen.step = steps.step)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT ({rejected}) AS kept
-FROM judged"""
+       NOT base_failed AND NOT broken AS kept
+FROM verdicts"""
 
 
 _OP11 = """

@@ -1,18 +1,24 @@
 """Quality rules whose cutoffs are certified on labelled rows.
 
-Text measures are column expressions on the row.  For each stratum and rule, a cutoff is
-accepted when the exact binomial test on labelled good documents shows that its false
-rejection rate is below the allowed one; the level is divided by the number of tests
-(Bonferroni), so that all accepted cutoffs hold together with probability 1 - delta.
-The strictest accepted cutoff of a rule is used.  A stratum with too few labels for a
-certificate has no cutoff and rejects nothing beyond the base rule.
+Text measures are column expressions on the row.  The cutoffs form a ladder, fixed in
+advance: first every rule at its laxest cutoff, then every rule at the next one, and so on; each
+step makes one rule stricter and keeps the others.  A step is accepted when the exact binomial
+test on labelled good documents shows that all rules together reject less than the allowed
+share of good ones.  The steps are tested in their order and the first that fails ends the
+ladder (fixed-sequence testing), so no level is divided among them.
 
-The cutoffs are fixed in advance, so every labelled row may serve as holdout.  Measures
-are written once, the labels are counted with one pre-aggregated grouping by stratum.
+Half of delta is divided among the strata (Bonferroni); the other half is for a certificate on
+all labels together.  A stratum whose own labels certify at least one step uses its own; for one
+without, the pooled cutoffs hold, whose guarantee is for the strata together.  All certificates
+hold together with probability 1 - delta.
+
+Every labelled row may serve as holdout, as nothing is chosen from the labels.  Measures are
+written once, the labels are counted with one pre-aggregated grouping by stratum.
 
 Defined results: null text has no words and fails the base rule; a null stratum is the
 stratum ''; several labels of one document count as the worst; unlabelled rows are judged
-but not counted; empty tables give empty tables.
+but not counted; without any certificate the base rule alone decides; empty tables give empty
+tables.
 """
 
 from __future__ import annotations
@@ -22,8 +28,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import ROW, SPACE_WORD, kept_row, text_of, unpacked
-from termloom.session import materialize
+from termloom.llm.common import ROW, SPACE_WORD, kept_row, numbered, text_of, without
+from termloom.session import materialize, run_scope
 
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper",
@@ -44,14 +50,16 @@ class RuleOptions:
     false_rejections: float = 0.02
     delta: float = 0.05
 
-    @property
-    def tests(self) -> int:
-        return sum(len(c) for _, c in self.cutoffs)
-
-    @property
-    def rate(self) -> float:
-        """The share of the allowed rate that one rule may use."""
-        return self.false_rejections / len(self.cutoffs)
+    def ladder(self) -> list[dict[str, float | None]]:
+        """The cutoffs of all rules after each step (None: the rule rejects nothing yet)."""
+        held: dict[str, float | None] = {rule: None for rule, _ in self.cutoffs}
+        steps = []
+        for level in range(1, max(len(values) for _, values in self.cutoffs) + 1):
+            for rule, values in self.cutoffs:
+                if level <= len(values):
+                    held[rule] = values[-level]
+                    steps.append(dict(held))
+        return steps
 
 
 def measures(
@@ -174,12 +182,44 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
     )
 
 
+def broken(cuts: dict[str, Column | float | None]) -> Column:
+    """Whether a row is at or above one of the cutoffs."""
+    rejected = F.lit(False)
+    for rule, cut in cuts.items():
+        if cut is not None:
+            rejected = rejected | F.coalesce(ratio(rule) >= cut, F.lit(False))
+    return rejected
+
+
+def steps_reached(
+    counts: DataFrame, names: list[str], rate: float, level: float
+) -> DataFrame:
+    """Adds ``step``: how many steps pass one after another.
+
+    ``counts`` has ``n`` and in ``names`` the rejected good rows after each step.
+    """
+    others = [c for c in counts.columns if c not in names]
+    tests = F.transform(
+        F.array(*names), lambda k: binomial_tail(k, F.col("n"), rate) <= level
+    )
+    tested = counts.select(*others, tests.alias("tests"))
+    reached = F.aggregate(
+        "tests", F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")),
+        lambda acc, x: F.struct(
+            (acc["on"] & x).alias("on"), (acc["n"] + (acc["on"] & x).cast("int")).alias("n")
+        ),
+        lambda acc: acc["n"],
+    )
+    return tested.select(*others, reached.alias("step"))
+
+
 def cutoffs(
     measured: DataFrame, labels: DataFrame, options: RuleOptions = RuleOptions()
-) -> DataFrame:
-    """One row per stratum: the strictest certified cutoff of each rule (null: none).
+) -> tuple[DataFrame, int]:
+    """(stratum, n, step) of every stratum with labels, and the step of the pooled certificate.
 
-    ``measured`` has ``key``, ``stratum`` and the measures; ``labels`` has doc_id, quality.
+    ``step`` counts the accepted steps of the ladder; 0: none.  ``measured`` has ``key``,
+    ``stratum`` and the measures; ``labels`` has doc_id, quality.
     """
     marked = (
         labels.select(F.col("doc_id").alias("key"), F.col("quality").alias("q"))
@@ -187,29 +227,22 @@ def cutoffs(
         .groupBy("key")
         .agg(F.min("q").alias("q"))
     )
-    good = (
+    ladder = options.ladder()
+    names = [f"k{i}" for i in range(len(ladder))]
+    good = materialize(
         measured.where(~base_failed())
         .join(marked.where("q = 1"), "key")
         .groupBy("stratum")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            *[
-                F.count_if(ratio(rule) >= c).alias(f"{rule}_{i}")
-                for rule, values in options.cutoffs
-                for i, c in enumerate(values)
-            ],
+            *[F.count_if(broken(cuts)).alias(name) for name, cuts in zip(names, ladder)],
         )
     )
-    good = materialize(good)
-    level = options.delta / (options.tests * max(1, good.count()))
-    best = []
-    for rule, values in options.cutoffs:
-        certified = [
-            F.when(binomial_tail(F.col(f"{rule}_{i}"), F.col("n"), options.rate) <= level, c)
-            for i, c in enumerate(values)
-        ]
-        best.append(F.coalesce(*certified).alias(f"cut_{rule}"))
-    return good.select("stratum", "n", *best)
+    share, rate = options.delta / 2, options.false_rejections
+    whole = good.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", *names)])
+    pooled = steps_reached(whole, names, rate, share).first()["step"]
+    own = steps_reached(good, names, rate, share / max(1, good.count()))
+    return own, pooled
 
 
 def judge(
@@ -237,20 +270,44 @@ def judge(
             F.coalesce(own, F.lit("")).alias("stratum"),
         )
     )
-    return verdicts(measured, cutoffs(measured, labels, options), options)
+    return verdicts(measured, *cutoffs(measured, labels, options), options)
 
 
-def verdicts(measured: DataFrame, chosen: DataFrame, options: RuleOptions) -> DataFrame:
+def verdicts(measured: DataFrame, own: DataFrame, pooled: int, options: RuleOptions) -> DataFrame:
     """Adds ``base_failed`` and ``kept`` to measured rows."""
-    rejected = F.lit(False)
-    for rule, _ in options.cutoffs:
-        rejected = rejected | F.coalesce(ratio(rule) >= F.col(f"cut_{rule}"), F.lit(False))
-    joined = measured.join(chosen.drop("n"), "stratum", "left")
-    return joined.withColumn("base_failed", base_failed()).withColumn(
-        "kept", ~F.col("base_failed") & ~rejected
+    joined = measured.join(own.drop("n"), "stratum", "left")
+    step = F.when(F.col("step") > 0, F.col("step")).otherwise(F.lit(pooled))
+    ladder = options.ladder()
+    cuts = {
+        rule: F.get(F.lit([None, *[s[rule] for s in ladder]]).cast("array<double>"), F.col("_step"))
+        for rule, _ in options.cutoffs
+    }
+    return (
+        joined.withColumn("_step", step)
+        .withColumn("base_failed", base_failed())
+        .withColumn("kept", ~F.col("base_failed") & ~broken(cuts))
+        .drop("_step")
     )
 
 
-def accepted(docs: DataFrame, labels: DataFrame, options: RuleOptions = RuleOptions()) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns."""
-    return judge(docs, labels, options).where("kept").select(*unpacked(docs.columns))
+def accepted(
+    docs: DataFrame,
+    labels: DataFrame,
+    options: RuleOptions = RuleOptions(),
+    key: str = "doc_id",
+    text: str = "text",
+    stratum: str = "lang",
+) -> DataFrame:
+    """The rows of ``docs`` that pass, with their own columns.
+
+    Rows are told apart by a number of their own; only the numbers of rejected rows are kept.
+    """
+    marked = numbered(docs)
+    columns = [c for c in (key, text, stratum) if c in docs.columns]
+    slim = marked.select("row", *[F.col(ROW)[c].alias(c) for c in columns])
+    with run_scope(docs.sparkSession):
+        judged = judge(
+            slim, labels, options, key, text, stratum, carry=["row", *[c for c in columns if c != text]]
+        )
+        gone = materialize(judged.where(~F.col("kept")).select(F.col(ROW)["row"].alias("row")), keep=True)
+    return without(marked, gone, docs.columns)

@@ -202,8 +202,9 @@ def test_licenses(spark, tables):
         more, best = set(labels), 0
         for label, template in licenses.TEMPLATES:
             t = set(template.split())
-            for line in (text or "").split("\n"):
-                n = len(t & set(brute.LETTER_WORDS.findall(brute.lower(line))))
+            length = licenses.block_length(template)
+            for i in range(len(found)):
+                n = len(t & set(found[i:i + length]))
                 if n >= math.ceil(0.9 * len(t)):
                     more.add(label)
                     best = max(best, n / len(t))
@@ -217,6 +218,64 @@ def test_licenses(spark, tables):
         assert tuple(r)[1:] == want(texts[r.doc_id])
 
 
+def test_wrapped_notices(spark):
+    """Notices wrapped at any column, with comment signs, and with a word changed."""
+    rows, labels = [], []
+    for label, template in licenses.TEMPLATES:
+        words = template.split()
+        for width in (20, 40, 75):
+            lines, line = [], "x y z"
+            for w in words:
+                if len(line) + len(w) > width:
+                    lines.append(line)
+                    line = "#"
+                line += " " + w.title()
+            rows.append((len(rows), "\n".join([*lines, line, "and so on"])))
+            labels.append(label)
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), carry=["doc_id"])
+    found = {r[0]["doc_id"]: r.labels for r in got.collect()}
+    assert all(label in found[i] for i, label in enumerate(labels))
+
+
+def test_templates_are_a_parameter(spark):
+    """Some hundred templates of their own words do not change the shape of the plan."""
+    docs = spark.createDataFrame([(1, "t7w0 t7w1\nt7w2 t7w3 t7w4"), (2, "t7w0 t8w1")], "doc_id long, text string")
+    many = [(f"l{i}", " ".join(f"t{i}w{k}" for k in range(5))) for i in range(300)]
+    few = licenses.scan(docs, phrases=[], templates=many[:8])
+    all_ = licenses.scan(docs, phrases=[], templates=many)
+    for scanned in (few, all_):
+        assert [(r.labels, r.score) for r in scanned.orderBy("n_words").collect()] == [([], 0.0), (["l7"], 1.0)]
+    shape = lambda df: len(df._jdf.queryExecution().executedPlan().toString().split("\n"))
+    assert shape(few) == shape(all_)
+    assert licenses.scan(docs, templates=[]).count() == 2
+
+
+def test_boilerplate_below_the_similarity(spark, tables, monkeypatch):
+    """Half of the rows share boilerplate at 0.5 to 0.74: few pairs are formed, no link is lost."""
+    from termloom.llm import neardup
+
+    rng = random.Random(3)
+    shared = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(rng.choice([25, 35, 50]))]
+        rows.append((i, " ".join(shared + own if i % 2 else own), "en", "s", 0))
+    rows += [(1000 + i, rows[2 * i + 1][1] + " z", "en", "s", 0) for i in range(20)]
+    seen = []
+    inner = neardup._crossing
+
+    def counted(*args):
+        pairs = inner(*args)
+        seen.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(neardup, "_crossing", counted)
+    got = QUERIES["op8_neardup"](spark, tables(documents=(rows, DOCS))).collect()
+    want = brute.near_duplicates(pairs(rows))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert seen[0] < 5 * len(rows)
+
+
 def test_near_duplicates(spark, tables):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -272,6 +331,37 @@ def test_certified_cutoffs(spark, tables):
     assert all(r.kept == (r.doc_id < 3000) for r in got)
 
 
+def test_strata_with_few_labels(spark, tables):
+    """300 labels certify a stratum of their own; fewer are judged by all labels together."""
+    good, bad = " ".join(f"word{i}" for i in range(12)), " ".join(f"word{i}###" for i in range(12))
+    strata = {"en": 900, "es": 300, "fi": 40, "none": 0}
+    rows, labels = [], []
+    for lang, n in strata.items():
+        for i in range(max(n, 5)):
+            rows.append((len(rows), good, lang, "s", 0))
+            labels += [(len(rows) - 1, 1, 0)] * (i < n)
+        rows.append((len(rows), bad, lang, "s", 0))
+    folder = tables(documents=(rows, DOCS), labels=(labels, LABELS))
+    got = {r.doc_id: r.kept for r in QUERIES["op9_rules"](spark, folder).collect()}
+    assert all(got[i] == (text == good) for i, text, *_ in rows)
+    slim = tables(documents=([r for r in rows if r[2] == "fi"], DOCS), labels=(labels, LABELS))
+    got = QUERIES["op9_rules"](spark, slim).collect()
+    assert all(r.kept for r in got)  # 40 labels in all certify nothing
+
+
+def test_ladder_ends_at_the_first_step_that_fails(spark):
+    from termloom.llm.rules import RuleOptions, steps_reached
+
+    steps = RuleOptions().ladder()
+    assert len(steps) == 16 and steps[0] == {
+        "symbol_ratio": 0.2, "dup_line_ratio": None, "repeat_ratio": None, "upper_ratio": None
+    }
+    assert steps[-1] == {rule: values[0] for rule, values in RuleOptions().cutoffs}
+    frame = spark.createDataFrame([(500, 0, 1, 30, 0), (100, 0, 0, 0, 0)], "n long, a long, b long, c long, d long")
+    got = steps_reached(frame, list("abcd"), 0.02, 0.01)
+    assert [(r.n, r.step) for r in got.collect()] == [(500, 2), (100, 0)]
+
+
 def test_ctw(spark, tables):
     rng = random.Random(3)
     rows = [
