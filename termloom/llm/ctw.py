@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from termloom.llm.common import named, release_memory, text_of
 from termloom.llm.encoding import slices
 from termloom.llm.shingles import LOWER, translated
-from termloom.session import materialize
+from termloom.session import discard, materialize
 
 BLOCK_BYTES = 24 << 20
 #: Text that is taken apart into grams at once; a gram takes about 70 bytes on the way.
@@ -405,6 +405,50 @@ def gram_scores(counted: DataFrame, depth: int) -> DataFrame:
     return dealt.mapInArrow(finish, "gram long, logp double")
 
 
+#: Scored grams that a task packs together.
+PACKED_GRAMS = 1 << 20
+
+
+def _packed_scores(scored: DataFrame) -> DataFrame:
+    """(block, grams, logs): one row for each block and task instead of one for each gram.
+
+    ``grams`` are the differences of the sorted codes, which compress well.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def packed() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            block, gram = table["block"].to_numpy(), table["gram"].to_numpy()
+            order = np.lexsort((gram, block))
+            block, gram, logs = block[order], gram[order], table["logp"].to_numpy()[order]
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            spans = list(zip(edges, edges[1:]))
+            return pa.record_batch(
+                {
+                    "block": pa.array([int(block[a]) for a, _ in spans], pa.int64()),
+                    "grams": pa.array(
+                        [np.diff(gram[a:b], prepend=0).astype("<i8").tobytes() for a, b in spans], pa.binary()
+                    ),
+                    "logs": pa.array([logs[a:b].astype("<f8").tobytes() for a, b in spans], pa.binary()),
+                }
+            )
+
+        n = 0
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                n += len(batch)
+            if n >= PACKED_GRAMS:
+                yield packed()
+                held, n = [], 0
+        if held:
+            yield packed()
+
+    return scored.mapInArrow(run, "block long, grams binary, logs binary")
+
+
 def scores(
     docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = 5
 ) -> DataFrame:
@@ -427,22 +471,32 @@ def scores(
     total = (seen[0] or 0) + ends
     distinct = seen[1] + (ends > 0)
     scored = materialize(gram_scores(counted, depth))
-    back = (
-        grams.join(scored, "gram").select("block", "gram", "logp", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("c"))
-        .unionByName(
-            words.join(tallied, "word").select("block", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("logp"), "word", "c")
+    discard(counted)
+    packed = materialize(
+        _packed_scores(grams.join(scored, "gram").select("block", "gram", "logp"))
+    )
+    discard(scored)
+    told = materialize(
+        words.join(tallied, "word").groupBy("block").agg(
+            F.collect_list("word").alias("words"), F.collect_list("c").alias("counts")
         )
     )
+    discard(lists, tallied)
+    back = packed.unionByName(told, allowMissingColumns=True)
 
     def run(own: pa.Table, asked: pa.Table) -> pa.Table:
-        is_gram = pc.is_valid(asked.column("gram"))
-        g = asked.filter(is_gram)
-        codes = g.column("gram").to_numpy().astype(np.uint64)
+        g = asked.filter(pc.is_valid(asked.column("grams")))
+        codes = np.concatenate(
+            [np.cumsum(np.frombuffer(x, "<i8")) for x in g.column("grams").to_pylist()] or [[]]
+        ).astype(np.uint64)
+        logs = np.concatenate(
+            [np.frombuffer(x, "<f8") for x in g.column("logs").to_pylist()] or [[]]
+        )
         order = np.argsort(codes)
-        codes, logs = codes[order], g.column("logp").to_numpy()[order]
-        w = asked.filter(pc.invert(is_gram))
-        known = w.column("word").combine_chunks().cast(pa.large_string())
-        counts = w.column("c").to_numpy()
+        codes, logs = codes[order], logs[order]
+        w = asked.filter(pc.is_valid(asked.column("words")))
+        known = pc.list_flatten(w.column("words")).combine_chunks().cast(pa.large_string())
+        counts = pc.list_flatten(w.column("counts")).to_numpy()
         out = []
         for batch in own.combine_chunks().to_batches():
             for part in slices(batch, "t", SLICE_BYTES):
