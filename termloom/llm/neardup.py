@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import ROW, named, numbered, text_of, without
+from termloom.llm.common import ROW, named, numbered, release_memory, text_of, without
 from termloom.llm.components import components
 from termloom.llm.encoding import slices
 from termloom.llm.shingles import PRIME, mixed, shingle_sets
@@ -87,6 +87,7 @@ def signed(
                     "buckets": pa.array(buckets, pa.list_(pa.int64())),
                 }
             )
+        release_memory()
 
     return slim.mapInArrow(
         run, f"key {kind}, tkey long, cls binary, n long, buckets array<long>"
@@ -118,6 +119,7 @@ def _sets(docs: DataFrame, picks: DataFrame, key: str, text: str, words: int) ->
                     "bits": pa.array([bitmap(s) for s in sets], pa.list_(pa.int64())),
                 }
             )
+        release_memory()
 
     sets = found.mapInArrow(run, "cls binary, n long, shingles array<long>, bits array<long>")
     return sets.groupBy("cls").agg(
