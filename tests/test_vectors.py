@@ -229,3 +229,23 @@ def test_written_rows_are_counted_by_the_write(spark, tmp_path):
     rows = spark.createDataFrame([("c", 1, [(0, 1.0)])] * 7, VECTORS).repartition(3)
     assert vs.write_vectors(rows, str(tmp_path / "v")) == 7
     assert vs.write_vectors(rows.limit(0), str(tmp_path / "none")) == 0
+
+
+def test_only_long_vectors_are_cut(spark):
+    rows = [
+        ("short", 1, [(f"t{9 * k:02d}", 1) for k in range(3)]),
+        ("long", 0, [(f"t{k:02d}", 2) for k in range(20)]),
+        (None, 0, [("t19", 3), ("t00", 1)]),
+        ("bare", None, None),
+    ]
+    bags = spark.createDataFrame(
+        rows, "cluster_id string, label int, bag array<struct<term:string,n:bigint>>"
+    )
+    words = spark.createDataFrame([(k, f"t{k:02d}", 1) for k in range(20)], "idx long, term string, n long")
+    cut = pl.model_vectors(bags, words, segment_size=4).collect()
+    held = {}
+    for r in cut:
+        held.setdefault(r["cluster_id"], []).append((r["segment"], [e["idx"] for e in r["entries"]]))
+    assert held["short"] == [(0, [0, 9, 18])]
+    assert sorted(held["long"]) == [(k, list(range(4 * k, 4 * k + 4))) for k in range(5)]
+    assert held["bare"] == [(0, [])]
