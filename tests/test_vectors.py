@@ -249,3 +249,23 @@ def test_only_long_vectors_are_cut(spark):
     assert held["short"] == [(0, [0, 9, 18])]
     assert sorted(held["long"]) == [(k, list(range(4 * k, 4 * k + 4))) for k in range(5)]
     assert held["bare"] == [(0, [])]
+
+
+def test_a_whole_line_for_each_cluster(spark):
+    rows = [(f"c{i:02d}", None if i % 3 else i % 2, [(k, float(i + k)) for k in range(i)]) for i in range(25)]
+    whole = spark.createDataFrame(rows, VECTORS)
+    lines = vs.whole_lines(
+        whole.select("cluster_id", "label"), whole.select("cluster_id", F.inline("entries")), 4
+    )
+    expected = {(r["cluster_id"], r["line"]) for r in vs.svmlite_lines(whole).collect()}
+    got = lines.collect()
+    assert {tuple(r) for r in got} == expected and len(got) == 25
+
+
+def test_lines_of_the_query_hold_whole_vectors(spark, bags, words, monkeypatch):
+    from termloom.plans import queries
+
+    monkeypatch.setattr(queries, "LINE_INDICES", 2)
+    monkeypatch.setattr(queries, "_bags_and_dictionary", lambda *_: (bags, words))
+    lines = sorted(map(tuple, queries.svmlite_lines(spark, "").collect()))
+    assert lines == [("e", "0"), ("f", "f"), ("k", "1 0:2.0 2:4.0 3:1.0")]
