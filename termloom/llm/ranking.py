@@ -7,9 +7,10 @@ cut at a quantile: the threshold leaves above it, among the labelled documents,
 that has label 1, and the score is a logistic curve that reaches ``cut`` there.
 
 Features come from the text alone and are column expressions in the row, so scoring is a
-scan.  The fit uses at most ``max_labelled`` labelled rows of each class, those of least
-hash of their key, and ``max_pairs`` pairs: both are parameters, and the driver
-holds one short feature vector for each such row.
+scan.  The fit uses every labelled row: the rows are dealt into groups of bounded size by a hash
+of their key, each row is in some pairs with rows of the other class of its group, and a pass of
+Newton's method adds up a gradient and a matrix of fixed size over the groups.  Mean, spread and
+threshold are those of all labelled rows.
 
 Defined results: null text is the empty text and gets a score; labels that are null are
 ignored and of several labels of a document the least counts; without rows of both labels
@@ -18,13 +19,17 @@ every score is the prior share; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import ROW, kept_row, named, text_of
+from termloom.operators.ordering import with_dense_index
+from termloom.session import discard, materialize
 
 FEATURES = (
     "log_words", "log_chars", "mean_word", "space_share", "symbol_share", "bang_share",
@@ -41,8 +46,8 @@ FUNCTION_WORDS = (
 
 @dataclass(frozen=True)
 class RankOptions:
-    max_labelled: int = 20_000
-    max_pairs: int = 200_000
+    pairs_per_row: int = 10
+    group_rows: int = 2_000
     ridge: float = 1e-3
     cut: float = 0.7
     seed: int = 7
@@ -116,19 +121,77 @@ def features(docs: DataFrame, text: str = "text", carry: list[str] | None = None
     return rows.select(ROW, *[value[name].alias(name) for name in FEATURES])
 
 
-def fit_weights(good: np.ndarray, bad: np.ndarray, options: RankOptions) -> np.ndarray:
-    """Newton's method on the mean logistic loss of feature differences."""
-    rng = np.random.default_rng(options.seed)
-    n = min(options.max_pairs, len(good) * len(bad))
-    x = good[rng.integers(len(good), size=n)] - bad[rng.integers(len(bad), size=n)]
-    w = np.zeros(x.shape[1])
-    ridge = options.ridge * np.eye(len(w))
+#: Rows of the rarer class that a group has, on average, at least; some are copied for it.
+PARTNERS = 50
+#: A table of labels is broadcast up to so many rows; beyond, features meet it in a shuffle.
+BROADCAST_LABELS = 1_000_000
+
+
+def pairs_of(good: np.ndarray, bad: np.ndarray, options: RankOptions, group: int) -> np.ndarray:
+    """Differences of the features of good and bad rows; every row of the group is in a pair."""
+    if not len(good) or not len(bad):
+        return np.zeros((0, len(FEATURES)))
+    rng = np.random.default_rng([options.seed, group])
+    large, small = max(len(good), len(bad)), min(len(good), len(bad))
+    times = min(options.pairs_per_row, small)
+    one = np.tile(np.arange(large), times)
+    # partners follow each other in a shuffled order, so each has nearly the same number
+    other = rng.permutation(small)[(one + np.repeat(np.arange(times), large)) % small]
+    return good[one] - bad[other] if len(good) == large else good[other] - bad[one]
+
+
+def _groups(picked: DataFrame, sizes: dict[int, int], options: RankOptions) -> DataFrame:
+    """(grp, good, bad): the features of the rows of each group by class."""
+    n = max(1, -(-sum(sizes.values()) // options.group_rows))
+    copies = {q: min(n, -(-PARTNERS * n // size)) for q, size in sizes.items()}
+    times = F.when(F.col("q") == 1, copies[1]).otherwise(copies[0])
+    place = F.xxhash64("key", "x")
+    dealt = picked.select(
+        "q", "x", place.alias("place"),
+        F.explode(F.sequence(F.lit(0), times - 1)).alias("copy"), times.alias("times"),
+    ).withColumn(
+        "grp",
+        F.pmod(F.pmod("place", F.lit(n)) + F.floor(F.col("copy") * n / F.col("times")), F.lit(n)),
+    )
+    rows = lambda q: F.transform(
+        F.sort_array(F.collect_list(F.when(F.col("q") == q, F.struct("place", "x")))), lambda r: r["x"]
+    )
+    return dealt.groupBy("grp").agg(rows(1).alias("good"), rows(0).alias("bad"))
+
+
+def fit_weights(
+    groups: DataFrame, mean: np.ndarray, scale: np.ndarray, options: RankOptions
+) -> np.ndarray:
+    """Newton's method on the mean logistic loss of feature differences, one job a pass."""
+    width = len(FEATURES)
+
+    def standard(rows: pa.Scalar) -> np.ndarray:
+        x = rows.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        return np.clip((x - mean) / scale, -8, 8)
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 + width + width * width)
+            for batch in batches:
+                good, bad = batch.column("good"), batch.column("bad")
+                for i, group in enumerate(batch.column("grp").to_pylist()):
+                    x = pairs_of(standard(good[i]), standard(bad[i]), options, group)
+                    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                    matrix = (x * (p * (1 - p))[:, None]).T @ x
+                    total += np.concatenate([[len(x)], x.T @ (1 - p), matrix.ravel()])
+            yield pa.record_batch({"part": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+        # one short row from each task
+        parts = groups.mapInArrow(run, "part array<double>").collect()
+        return np.sum(np.sort([r["part"] for r in parts], axis=0), axis=0)
+
+    w = np.zeros(width)
+    ridge = options.ridge * np.eye(width)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(
-            (x * (p * (1 - p))[:, None]).T @ x / n + ridge, x.T @ (1 - p) / n - options.ridge * w
-        )
-        w += step
+        total = sums(w)
+        n, slope, matrix = total[0], total[1:1 + width], total[1 + width:].reshape(width, width)
+        step = np.linalg.solve(matrix / n + ridge, slope / n - options.ridge * w)
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -138,43 +201,63 @@ def fit(
     docs: DataFrame, labels: DataFrame, options: RankOptions = RankOptions(),
     key: str = "doc_id", text: str = "text",
 ) -> RankModel:
-    """Learns from the rows of ``labels`` (doc_id, quality)."""
+    """Learns from the rows of ``labels`` (doc_id, quality), all of them."""
     marked = (
         labels.select(F.col("doc_id").alias("key"), F.col("quality").cast("int").alias("q"))
         .where("key is not null and q in (0, 1)")
         .groupBy("key").agg(F.min("q").alias("q"))
-        .withColumn("order", F.xxhash64("key"))
     )
-    sizes = {r["q"]: r["n"] for r in marked.groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = None
-    for q in (0, 1):
-        part = marked.where(F.col("q") == q).orderBy("order", "key").limit(options.max_labelled)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    known = {r["q"]: r["n"] for r in marked.groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(known.values())
+    share = known.get(1, 0) / total if total else options.cut
     slim = docs.select(named(key).alias("key"), named(text).alias("text"))
-    # at most 2 * max_labelled rows of two numbers go out; no text is shuffled
-    marked_texts = slim.join(F.broadcast(chosen), "key").select("key", "q", "text")
-    picked = features(marked_texts, "text", ["key", "q"])
-    table = picked.select(F.col(ROW)["q"].alias("q"), *FEATURES).toPandas()
-    x, y = table[list(FEATURES)].to_numpy(float), table["q"].to_numpy(int)
-    total = sum(sizes.values())
-    share = sizes.get(1, 0) / total if total else options.cut
+    # no text is shuffled: few labels go to the texts, many labels meet the features
+    vector = F.array(*FEATURES).alias("x")
+    if total <= BROADCAST_LABELS:
+        marked_texts = slim.join(F.broadcast(marked), "key").select("key", "q", "text")
+        found = features(marked_texts, "text", ["key", "q"])
+        found = found.select(F.col(ROW)["key"].alias("key"), F.col(ROW)["q"].alias("q"), vector)
+    else:
+        found = features(slim, "text", ["key"]).select(F.col(ROW)["key"].alias("key"), vector)
+        found = found.join(marked, "key").select("key", "q", "x")
+    picked = materialize(found)
+    try:
+        return _fit_rows(picked, share, options)
+    finally:
+        discard(picked)
+
+
+def _fit_rows(picked: DataFrame, share: float, options: RankOptions) -> RankModel:
+    columns = [F.get("x", F.lit(i)) for i in range(len(FEATURES))]
+    moments = picked.groupBy("q").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)],
+    ).collect()
+    sizes = {r["q"]: r["n"] for r in moments}
     blank = tuple(np.zeros(len(FEATURES)))
-    if not (y == 1).any() or not (y == 0).any():
+    if len(sizes) < 2:
         flat = float(np.clip(share, 0.0, 1.0))
         return RankModel(blank, tuple(np.ones(len(FEATURES))), blank, 0.0, 1.0, flat)
-    mean, scale = x.mean(axis=0), x.std(axis=0)
+    n = sum(sizes.values())
+    means = {r["q"]: np.array([r[f"m{i}"] for i in range(len(FEATURES))]) for r in moments}
+    spreads = {r["q"]: np.array([r[f"v{i}"] for i in range(len(FEATURES))]) for r in moments}
+    mean = sum(sizes[q] * means[q] for q in (0, 1)) / n
+    scale = np.sqrt(sum(sizes[q] * (spreads[q] + (means[q] - mean) ** 2) for q in (0, 1)) / n)
     scale[scale < 1e-9] = 1.0
-    z = np.clip((x - mean) / scale, -8, 8)
-    w = fit_weights(z[y == 1], z[y == 0], options)
-    worth = z @ w
-    # each class weighs as much as it has in all labels, not as in the bounded sample
-    weight = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())
-    order = np.argsort(worth)
-    below = np.cumsum(weight[order]) / weight.sum()
-    i = min(int(np.searchsorted(below, 1 - share)), len(order) - 2)
-    threshold = float((worth[order[i]] + worth[order[i + 1]]) / 2)
-    slope = float(1 / max(1.0, worth.std() / 4))
-    return RankModel(tuple(mean), tuple(scale), tuple(w), threshold, slope, options.cut)
+    groups = materialize(_groups(picked, sizes, options))
+    w = fit_weights(groups, mean, scale, options)
+    discard(groups)
+    model = RankModel(tuple(mean), tuple(scale), tuple(w), 0.0, 1.0, options.cut)
+    named_features = picked.select(*[c.alias(name) for c, name in zip(columns, FEATURES)])
+    worths = named_features.select(worth(model).alias("worth"))
+    placed = with_dense_index(worths, F.asc("worth"))
+    # the threshold leaves the share of label 1 above it
+    i = min(max(int(np.ceil((1 - share) * n)) - 1, 0), n - 2)
+    around = [r["worth"] for r in placed.where(F.col("idx").isin(i, i + 1)).collect()]
+    spread = placed.agg(F.stddev_pop("worth")).first()[0]
+    slope = float(1 / max(1.0, spread / 4))
+    return replace(model, threshold=float(sum(around) / 2), slope=slope)
 
 
 def worth(model: RankModel) -> Column:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.llm import licenses
+from termloom.llm import licenses, ranking
 from termloom.llm.queries import QUERIES
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -396,3 +396,24 @@ NATIVE = ("op1_pii", "op6_licenses", "op9_rules")
 def test_native_plans(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan.toString())
+
+
+def test_quality_is_fitted_on_every_labelled_row(spark):
+    options = ranking.RankOptions(group_rows=100, pairs_per_row=3)
+    rows = [(i, int(i < 7), [i * (1000.0 if i < 7 else 1.0)] * len(ranking.FEATURES)) for i in range(400)]
+    picked = spark.createDataFrame(rows, "key long, q int, x array<double>")
+    groups = ranking._groups(picked, {1: 7, 0: 393}, options).collect()
+    assert len(groups) == 4 and all(g["good"] and g["bad"] for g in groups)
+    assert sorted(x[0] for g in groups for x in g["bad"]) == [float(i) for i in range(7, 400)]
+    seen = set()
+    for g in groups:
+        good, bad = np.array(g["good"]), np.array(g["bad"])
+        pairs = ranking.pairs_of(good, bad, options, g["grp"])
+        ends = {(a[0] - b[0]): (a[0], b[0]) for a in good for b in bad}
+        seen |= {v for d in pairs[:, 0] for v in ends[d]}
+    assert seen >= {float(i) for i in range(7, 400)}
+    # the threshold leaves the share of label 1 above it, counted over all labelled rows
+    rows = [(i, int(i % 5 == 0), [float(i % 5 == 0) + i / 1000] + [0.0] * (len(ranking.FEATURES) - 1)) for i in range(500)]
+    model = ranking._fit_rows(spark.createDataFrame(rows, "key long, q int, x array<double>"), 0.2, options)
+    z = lambda i: model.weights[0] * (rows[i][2][0] - model.mean[0]) / model.scale[0]
+    assert [i for i in range(500) if z(i) > model.threshold] == list(range(0, 500, 5))
