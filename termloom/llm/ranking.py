@@ -47,6 +47,7 @@ FUNCTION_WORDS = (
 @dataclass(frozen=True)
 class RankOptions:
     pairs_per_row: int = 10
+    least_pairs: int = 200_000
     group_rows: int = 2_000
     ridge: float = 1e-3
     cut: float = 0.7
@@ -127,13 +128,13 @@ PARTNERS = 50
 BROADCAST_LABELS = 1_000_000
 
 
-def pairs_of(good: np.ndarray, bad: np.ndarray, options: RankOptions, group: int) -> np.ndarray:
+def pairs_of(good: np.ndarray, bad: np.ndarray, per_row: int, seed: list[int]) -> np.ndarray:
     """Differences of the features of good and bad rows; every row of the group is in a pair."""
     if not len(good) or not len(bad):
         return np.zeros((0, len(FEATURES)))
-    rng = np.random.default_rng([options.seed, group])
+    rng = np.random.default_rng(seed)
     large, small = max(len(good), len(bad)), min(len(good), len(bad))
-    times = min(options.pairs_per_row, small)
+    times = min(per_row, small)
     one = np.tile(np.arange(large), times)
     # partners follow each other in a shuffled order, so each has nearly the same number
     other = rng.permutation(small)[(one + np.repeat(np.arange(times), large)) % small]
@@ -160,10 +161,14 @@ def _groups(picked: DataFrame, sizes: dict[int, int], options: RankOptions) -> D
 
 
 def fit_weights(
-    groups: DataFrame, mean: np.ndarray, scale: np.ndarray, options: RankOptions
+    groups: DataFrame, mean: np.ndarray, scale: np.ndarray, options: RankOptions, n: int
 ) -> np.ndarray:
-    """Newton's method on the mean logistic loss of feature differences, one job a pass."""
+    """Newton's method on the mean logistic loss of feature differences, one job a pass.
+
+    ``n`` is the number of rows; few rows are paired more often.
+    """
     width = len(FEATURES)
+    per_row = max(options.pairs_per_row, -(-options.least_pairs // n))
 
     def standard(rows: pa.Scalar) -> np.ndarray:
         x = rows.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
@@ -175,7 +180,7 @@ def fit_weights(
             for batch in batches:
                 good, bad = batch.column("good"), batch.column("bad")
                 for i, group in enumerate(batch.column("grp").to_pylist()):
-                    x = pairs_of(standard(good[i]), standard(bad[i]), options, group)
+                    x = pairs_of(standard(good[i]), standard(bad[i]), per_row, [options.seed, group])
                     p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
                     matrix = (x * (p * (1 - p))[:, None]).T @ x
                     total += np.concatenate([[len(x)], x.T @ (1 - p), matrix.ravel()])
@@ -189,8 +194,8 @@ def fit_weights(
     ridge = options.ridge * np.eye(width)
     for _ in range(30):
         total = sums(w)
-        n, slope, matrix = total[0], total[1:1 + width], total[1 + width:].reshape(width, width)
-        step = np.linalg.solve(matrix / n + ridge, slope / n - options.ridge * w)
+        size, slope, matrix = total[0], total[1:1 + width], total[1 + width:].reshape(width, width)
+        step = np.linalg.solve(matrix / size + ridge, slope / size - options.ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -246,14 +251,14 @@ def _fit_rows(picked: DataFrame, share: float, options: RankOptions) -> RankMode
     scale = np.sqrt(sum(sizes[q] * (spreads[q] + (means[q] - mean) ** 2) for q in (0, 1)) / n)
     scale[scale < 1e-9] = 1.0
     groups = materialize(_groups(picked, sizes, options))
-    w = fit_weights(groups, mean, scale, options)
+    w = fit_weights(groups, mean, scale, options, n)
     discard(groups)
     model = RankModel(tuple(mean), tuple(scale), tuple(w), 0.0, 1.0, options.cut)
     named_features = picked.select(*[c.alias(name) for c, name in zip(columns, FEATURES)])
     worths = named_features.select(worth(model).alias("worth"))
     placed = with_dense_index(worths, F.asc("worth"))
-    # the threshold leaves the share of label 1 above it
-    i = min(max(int(np.ceil((1 - share) * n)) - 1, 0), n - 2)
+    # the threshold leaves as many labelled rows above it as have label 1
+    i = sizes[0] - 1
     around = [r["worth"] for r in placed.where(F.col("idx").isin(i, i + 1)).collect()]
     spread = placed.agg(F.stddev_pop("worth")).first()[0]
     slope = float(1 / max(1.0, spread / 4))

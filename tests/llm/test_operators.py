@@ -408,7 +408,7 @@ def test_quality_is_fitted_on_every_labelled_row(spark):
     seen = set()
     for g in groups:
         good, bad = np.array(g["good"]), np.array(g["bad"])
-        pairs = ranking.pairs_of(good, bad, options, g["grp"])
+        pairs = ranking.pairs_of(good, bad, options.pairs_per_row, [1, g["grp"]])
         ends = {(a[0] - b[0]): (a[0], b[0]) for a in good for b in bad}
         seen |= {v for d in pairs[:, 0] for v in ends[d]}
     assert seen >= {float(i) for i in range(7, 400)}
