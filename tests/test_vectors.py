@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from conftest import plan_of
@@ -269,3 +271,13 @@ def test_lines_of_the_query_hold_whole_vectors(spark, bags, words, monkeypatch):
     monkeypatch.setattr(queries, "_bags_and_dictionary", lambda *_: (bags, words))
     lines = sorted(map(tuple, queries.svmlite_lines(spark, "").collect()))
     assert lines == [("e", "0"), ("f", "f"), ("k", "1 0:2.0 2:4.0 3:1.0")]
+
+
+def test_rare_entries_are_shuffled_once(bags, words, monkeypatch):
+    monkeypatch.setattr(vc, "membership", lambda tail: None)
+    monkeypatch.setattr("termloom.operators.dictionary.HEAD_ROWS", 1)
+    entries = vc.cluster_entries(bags, words, "sum", small_dictionary=False, unique=True)
+    assert not re.search(r"hashpartitioning\(cluster_id#\d+, term#\d+", plan_of(entries))
+    assert {(r["cluster_id"], r["idx"], r["value"]) for r in entries.collect()} == {
+        ("k", 0, 3.0), ("k", 2, 4.0), ("k", 3, 1.0),
+    }
