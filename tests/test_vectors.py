@@ -281,3 +281,32 @@ def test_rare_entries_are_shuffled_once(bags, words, monkeypatch):
     assert {(r["cluster_id"], r["idx"], r["value"]) for r in entries.collect()} == {
         ("k", 0, 3.0), ("k", 2, 4.0), ("k", 3, 1.0),
     }
+
+
+def test_a_dictionary_of_its_own_bags_needs_no_filter(spark, bags, monkeypatch):
+    monkeypatch.setattr("termloom.operators.dictionary.HEAD_ROWS", 1)
+    monkeypatch.setattr("termloom.operators.vectors.fits_broadcast", lambda _: False)
+    own = dc.build_dictionary(dc.term_counts(bags))
+    for merge in ("max", "sum", "avg"):
+        complete = pl.vectorize(bags, own, merge, complete=True)[1]
+        assert "_bits" not in plan_of(complete)
+        assert set(map(tuple, complete.collect())) == set(map(tuple, pl.vectorize(bags, own, merge)[1].collect()))
+
+
+def test_rows_of_a_cluster_do_not_meet_under_an_outer_join(spark, bags, words):
+    lost = spark.createDataFrame([(9, None, 1, [("b", 2)]), (8, "m", None, [("d", 3)])], BAGS)
+    bags = bags.unionByName(lost)
+    table, entries = vc.clusters(bags), vc.cluster_entries(bags, words)
+    cut = vc.assemble(table, entries, segment_size=2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(vc.assemble(table, entries, segment_size=2))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftOuter" not in plan
+    assert cut.columns == ["cluster_id", "label", "n_docs", "segment", "entries"]
+    got = {(r["cluster_id"], r["label"], r["segment"], tuple(map(tuple, r["entries"]))) for r in cut.collect()}
+    assert got == {
+        ("k", 1, 0, ((0, 2.0),)), ("k", 1, 1, ((2, 4.0), (3, 1.0))), ("m", None, 1, ((3, 3.0),)),
+        ("e", 0, 0, ()), ("f", None, 0, ()), (None, 1, 0, ()),
+    }
