@@ -2,8 +2,12 @@ import json
 
 import pytest
 
+from conftest import plan_of
+from pyspark.sql import functions as F
+
 from termloom.sources import documents as ds
 from termloom.sources import scores as sc
+from termloom.sources import vectors as vs
 
 
 def write(path, *records):
@@ -109,3 +113,36 @@ def test_malformed_lines_are_set_aside_within_a_bound(spark, tmp_path):
     with pytest.raises(ValueError, match="malformed"):
         ds.read_or_set_aside(spark, [one, two], str(tmp_path / "worse"), most_malformed=0)
     assert spark.read.json(str(tmp_path / "worse")).count() == n
+
+
+def test_lines_are_numbered_over_files_and_blocks_without_a_shuffle(spark, tmp_path):
+    from termloom.sources import dictionary as sd
+
+    path, n = str(tmp_path / "lines"), 3000
+    spark.range(n).repartitionByRange(3, "id").sortWithinPartitions("id").select(
+        F.format_string("t%05d", "id")
+    ).write.text(path)
+    for most in ("134217728", "1000"):  # whole files and many blocks of each
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            for table, term in ((vs.numbered_lines(spark, path), "value"),
+                                (sd.read_dictionary_text(spark, path), "term")):
+                assert "rangepartitioning" not in plan_of(table)
+                found = sorted((r[-1], r[0]) if term == "value" else tuple(r) for r in table.collect())
+                assert found == [(i, f"t{i:05d}") for i in range(n)]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "none").mkdir()
+    assert vs.numbered_lines(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_numbering_lines_makes_no_range_shuffle(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "lines")
+    spark.range(500).select(F.col("id").cast("string")).write.text(path)
+    written = []
+    from termloom.operators import ordering
+
+    keep = ordering.materialize
+    monkeypatch.setattr(ordering, "materialize", lambda df: written.append(plan_of(df)) or keep(df))
+    vs.numbered_lines(spark, path)
+    assert written and not any("Exchange" in plan for plan in written)
