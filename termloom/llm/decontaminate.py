@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import ROW, named, numbered, text_of, without
+from termloom.llm.common import ROW, named, numbered, release_memory, text_of, without
 from termloom.llm.encoding import slices
 from termloom.llm.shingles import translated
 from termloom.session import materialize, run_scope
@@ -50,10 +50,12 @@ INDEX_TYPE = (
 def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """All words of the texts, dictionary-encoded, and the number of words of each text."""
     texts = pc.ascii_trim_whitespace(translated(texts, WORD_TABLE))
+    empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     cut = pc.ascii_split_whitespace(texts)
+    del texts
     n = np.diff(cut.offsets.to_numpy().astype(np.int64))
     words = cut.flatten()
-    empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    del cut
     if empty.any():
         words = words.filter(pa.array(~np.repeat(empty, n)))
         n = np.where(empty, 0, n)
@@ -71,11 +73,13 @@ def build_index(
         block = TaskContext.get().partitionId() << 32
         for batch in (s for b in batches for s in slices(b, "t", BLOCK_BYTES)):
             words, n = words_of(batch.column("t"))
-            starts = np.cumsum(n + gap) - (n + gap)
-            places = np.arange(n.sum()) + np.repeat(np.arange(len(n)) * gap, n)
+            # positions of a block are stored in 32 bits, so they are computed in 32 bits
+            places = np.arange(n.sum(), dtype="<i4")
+            places += np.repeat(np.arange(len(n), dtype="<i4") * np.int32(gap), n)
             code = words.indices.to_numpy()
-            order = np.argsort(code, kind="stable")
             counts = np.bincount(code, minlength=len(words.dictionary))
+            positions = places[np.argsort(code, kind="stable")].tobytes()
+            del places, code
             keys = batch.column("key")
             yield pa.record_batch(
                 {
@@ -86,10 +90,13 @@ def build_index(
                         pa.array([0, len(counts)], pa.int32()), words.dictionary.cast(pa.string())
                     ),
                     "counts": pa.array([counts.astype(np.int32)], pa.list_(pa.int32())),
-                    "positions": pa.array([places[order].astype("<i4").tobytes()], pa.binary()),
+                    "positions": pa.array([positions], pa.binary()),
                 }
             )
             block += 1
+            del words, positions
+        # this worker may wait beside those of the next stage
+        release_memory()
 
     return slim.mapInArrow(run, INDEX_TYPE.format(kind=kind))
 
@@ -201,6 +208,7 @@ def _search(index: DataFrame, ids: list[str], texts: pa.Array, size: int, slop:
                         "near": pa.array([f[3] for f in found], pa.list_(pa.string())),
                     }
                 )
+        release_memory()
 
     return index.select("block", "n_words", "terms", "counts", "positions").mapInArrow(
         run,

@@ -133,3 +133,31 @@ def test_lookup(spark, tmp_path):
 
 def test_brute_luhn():
     assert brute.luhn("4539148803436467") and not brute.luhn("4539148803436468")
+
+
+def test_index_keeps_its_positions_and_gives_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from termloom.llm import decontaminate as dc
+
+    class Frame:  # hands the function of the tasks back
+        schema = {"key": type("Field", (), {"dataType": type("T", (), {"simpleString": lambda _: "bigint"})()})}
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    released = []
+    column = type("Column", (), {"alias": lambda self, _: self})()
+    monkeypatch.setattr(dc, "named", lambda _: column)
+    monkeypatch.setattr(dc, "text_of", lambda _: column)
+    monkeypatch.setattr(dc, "TaskContext", type("C", (), {"get": lambda: type("P", (), {"partitionId": lambda _: 2})()}))
+    monkeypatch.setattr(dc, "release_memory", lambda: released.append(1), raising=False)
+    texts = ["b a b", None, "", "a c"]
+    batch = pa.record_batch({"key": pa.array([1, 2, 3, 4]), "t": pa.array(texts)})
+    (row,) = [r.to_pylist()[0] for r in dc.build_index(Frame(), gap=3)(iter([batch]))]
+    places = np.frombuffer(row["positions"], "<i4").tolist()
+    held, at = {}, 0
+    for term, n in zip(row["terms"], row["counts"]):
+        held[term], at = places[at:at + n], at + n
+    # a document's words follow those before it and a gap for each document
+    assert held == {"b": [0, 2], "a": [1, 12], "c": [13]} and row["n_words"] == [3, 0, 0, 2]
+    assert released == [1]
