@@ -39,6 +39,9 @@ from termloom.session import materialize, run_scope
 STRIDE = np.uint64(0xD1342543DE82EF95)
 SPREAD = np.uint64(0xDA942042E4DD58B5)
 
+#: Shingles before one in a prefix that go with it, so that a pair is formed at its first one.
+EARLIER = 32
+
 
 def signature(shingles: np.ndarray, size: int) -> np.ndarray:
     """Coordinates min(pi(sigma(x) - k * stride)) for k below ``size``."""
@@ -183,7 +186,8 @@ def _sharing(rest: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _prefixes(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(s, cls, component): the rarest shingles of the classes that are left, enough of them.
+    """(s, cls, component, earlier): the rarest shingles of the classes that are left, enough of
+    them, each with the first ones that come before it.
 
     Two sets of at least the similarity share one of their n - ceil(p n) + 1 rarest shingles in
     any common order; here by the number of classes in ``rest`` that have them.  A shingle of
@@ -204,19 +208,22 @@ def _prefixes(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     alone = F.col("n") - F.size("order")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     taken = F.slice("order", 1, F.greatest(length - alone, F.lit(0)).cast("int"))
-    return ranked.select("cls", "component", F.explode(F.filter(taken, lambda x: x["across"])).alias("x")).select(
-        F.col("x")["s"].alias("s"), "cls", "component"
+    led = ranked.select(
+        "cls", "component", F.transform(F.filter(taken, lambda x: x["across"]), lambda x: x["s"]).alias("led")
+    )
+    return led.select("cls", "component", "led", F.posexplode("led").alias("at", "s")).select(
+        "s", "cls", "component", F.slice("led", F.lit(1), F.least("at", F.lit(EARLIER))).alias("earlier")
     )
 
 
-def _crossing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of classes of ``rest`` in different components that may be similar.
+def _meeting(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of classes in different components that have a shingle of their prefixes in
+    common, within the exact bounds.
 
-    A pair is formed only where both have a shingle among their rarest; the exact bounds are
-    applied before the pairs are made distinct.
+    A pair is formed at the first such shingle in the order of the prefixes; where that one has
+    ``EARLIER`` others before it a pair may come again.
     """
-    prefixes = materialize(_prefixes(rest, sets, percent).join(_sharing(rest, sets), "cls"))
-    columns = ("cls", "component", "n", "shared", "bits", "lost")
+    columns = ("cls", "component", "earlier", "n", "shared", "bits", "lost")
     other = prefixes.select("s", *[F.col(c).alias(f"o_{c}") for c in columns])
     most = F.least("shared", "o_shared")
     at_most = _common_bits("bits", "o_bits") + F.least("lost", "o_lost")
@@ -228,13 +235,23 @@ def _crossing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             (F.col("cls") < F.col("o_cls"))
             & (F.col("component") != F.col("o_component"))
             & ((100 + percent) * most >= enough)
+            & ~F.arrays_overlap("earlier", "o_earlier")
             & ((100 + percent) * at_most >= enough)
         )
         .select(F.col("cls").alias("a"), F.col("o_cls").alias("b"))
-        .distinct()
     )
 
 
+def _crossing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of classes of ``rest`` in different components that may be similar.
+
+    A pair is formed only where both have a shingle among their rarest, and once for nearly all
+    pairs.
+    """
+    prefixes = materialize(_prefixes(rest, sets, percent).join(_sharing(rest, sets), "cls"))
+    return _meeting(prefixes, percent).distinct()
+
+
 def _apart(pairs: DataFrame, reach: DataFrame, a: str, b: str) -> DataFrame:
     """The pairs whose classes are not in one component."""
     left = reach.select(F.col("vertex").alias(a), F.col("component").alias("ca"))

@@ -7,6 +7,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,6 +277,35 @@ def test_boilerplate_below_the_similarity(spark, tables, monkeypatch):
     assert seen[0] < 5 * len(rows)
 
 
+def test_pairs_of_a_family_are_formed_once(spark):
+    """Edited copies of one text share many shingles of their prefixes; a pair comes once."""
+    from termloom.llm import neardup
+
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    sets = []
+    for _ in range(80):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([2, 3, 4, 8])):
+            words[at] = f"o{rng.randrange(10**9)}"
+        sets.append(neardup.shingle_sets(pa.array([" ".join(words)]))[0])
+    rows = [
+        (bytearray([i]), len(s), s.view(np.int64).tolist(), neardup.bitmap(s).tolist())
+        for i, s in enumerate(sets)
+    ]
+    table = spark.createDataFrame(rows, "cls binary, n long, shingles array<long>, bits array<long>")
+    rest = table.select("cls", F.col("cls").alias("component"))
+    prefixes = neardup._prefixes(rest, table, 75).join(neardup._sharing(rest, table), "cls")
+    formed = [(r.a[0], r.b[0]) for r in neardup._meeting(prefixes, 75).collect()]
+    alike = {
+        (i, j)
+        for j in range(80) for i in range(j)
+        if 7 * len(np.intersect1d(sets[i], sets[j])) >= 3 * (len(sets[i]) + len(sets[j]))
+    }
+    assert 50 < len(alike) < 3000
+    assert len(formed) == len(set(formed)) and alike <= set(formed)
+
+
 def test_near_duplicates(spark, tables):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
