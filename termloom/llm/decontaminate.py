@@ -32,8 +32,10 @@ from termloom.llm.encoding import slices
 from termloom.llm.shingles import translated
 from termloom.session import materialize, run_scope
 
-#: Text of one index row, and text of one slice of benchmark items.
-BLOCK_BYTES = 8 << 20
+#: Text of one index row, rows of one file of the index (what a task decodes at once), and text
+#: of one slice of benchmark items.
+BLOCK_BYTES = 2 << 20
+BLOCKS_PER_FILE = 8
 SLICE_BYTES = 4 << 20
 # Bytes that are no part of a word become spaces, A-Z become a-z.
 WORD_TABLE = bytes(
@@ -235,7 +237,7 @@ def contamination(
     places of their position.
     """
     gap = size + slop + 1
-    index = materialize(build_index(docs, key, text, gap))
+    index = materialize(build_index(docs, key, text, gap), rows_per_file=BLOCKS_PER_FILE)
     asked = benchmark.select(
         F.coalesce(named(item).cast("string"), F.lit("")).alias("id"), text_of(item_text).alias("t")
     ).distinct()

@@ -177,6 +177,29 @@ def test_contamination(spark, tables, monkeypatch, slice_bytes):
     assert got == brute.contamination(pairs(rows), items)
 
 
+def test_index_files_hold_few_blocks(spark, monkeypatch):
+    """A task decodes the rows of a file together, and each is a block of texts."""
+    from termloom.llm import decontaminate
+
+    write, written = decontaminate.materialize, []
+
+    def kept(table, **options):
+        written.append(write(table, **options))
+        return written[-1]
+
+    monkeypatch.setattr(decontaminate, "materialize", kept)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 30)
+    monkeypatch.setattr(decontaminate, "BLOCKS_PER_FILE", 3, raising=False)
+    rows = [(i, f"one two{i} three four") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "two7 three"), (2, "four three")], ITEMS)
+    got = {r.doc_id: (r.n_hit, r.items) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {i: (2, ["1"]) if i == 7 else (0, []) for i in range(40)}
+    (index,) = written
+    held = [r["count"] for r in index.groupBy(F.col("_metadata.file_path")).count().collect()]
+    assert sum(held) > 3 and max(held) <= 3
+
+
 def test_licenses(spark, tables):
     words = [
         "under", "the", "MIT", "license", "Apache", "Version", "2", "2.0", "CC", "BY", "-", "nc",
