@@ -310,3 +310,47 @@ def test_rows_of_a_cluster_do_not_meet_under_an_outer_join(spark, bags, words):
         ("k", 1, 0, ((0, 2.0),)), ("k", 1, 1, ((2, 4.0), (3, 1.0))), ("m", None, 1, ((3, 3.0),)),
         ("e", 0, 0, ()), ("f", None, 0, ()), (None, 1, 0, ()),
     }
+
+
+@pytest.fixture
+def own(spark):
+    """Bags of three clusters, one of them without a term, and their dictionary."""
+    rows = [(i, f"c{i % 2}", 1, [("all", 2), (f"t{i}", 1), (f"u{i % 7}", i + 1)]) for i in range(40)]
+    rows += [(40, "none", 0, []), (41, None, None, [("all", 1), ("t3", 5)])]
+    bags = spark.createDataFrame(rows, BAGS)
+    return bags, dc.build_dictionary(dc.term_counts(bags))
+
+
+def test_terms_of_a_complete_dictionary_are_dealt_by_short_keys(own, monkeypatch):
+    bags, words = own
+    monkeypatch.setattr(dc, "fits_broadcast", lambda _: False)
+    monkeypatch.setattr(vc, "fits_broadcast", lambda _: False)
+    monkeypatch.setattr(dc, "HEAD_ROWS", 2)
+    row = lambda df: sorted(map(str, df.collect()))
+    for make in (
+        lambda complete: vc.cluster_entries(bags, words, "sum", unique=True, complete=complete),
+        lambda complete: vc.doc_term_vectors(bags, words, "doc_id", unique=True, complete=complete),
+    ):
+        short, plain = make(True), make(False)
+        assert row(short) == row(plain) and short.count() > 40
+        assert "hashpartitioning(_key" in plan_of(short) and "hashpartitioning(term" not in plan_of(short)
+
+
+def test_two_terms_with_one_key_fail(own):
+    bags, words = own
+    assert dc.keyed(words).count() == words.count()
+    with pytest.raises(Exception, match="two terms have the same key"):
+        dc.keyed(words.unionByName(words)).collect()
+
+
+def test_entries_of_own_bags_are_not_written_for_the_clusters_without(own, monkeypatch):
+    bags, words = own
+    written = []
+    monkeypatch.setattr(vc, "materialize", lambda table: written.append(table.columns) or table)
+    row = lambda df: sorted(map(str, df.collect()))
+    for form in (vc.cluster_vectors, vc.assemble):
+        plain = row(form(*pl.vectorize(bags, words)))
+        written.clear()
+        marked = form(*pl.vectorize(bags, words, complete=True))
+        assert row(marked) == plain and vc.BARE not in marked.columns
+        assert not any("idx" in columns for columns in written)
